@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .quality import op2_quality
 from .secrets import op3_secrets
 from .sharding import op1_sharding
 from .token_counts import op10_token_counts
 
 
 def queries() -> dict:
-    ops = (op1_sharding, op3_secrets, op4_bpe, op10_token_counts)
+    ops = (op1_sharding, op2_quality, op3_secrets, op4_bpe, op10_token_counts)
     return {f.__name__: f for f in ops}
 
 
