@@ -13,6 +13,10 @@ from .common import blocks, prepare
 #: ASCII white space never lies inside a token of this kind of vocabulary (white space is dropped).
 _SPACE_BYTES = b" \t\n\v\f\r"
 _WINDOW = 16
+#: A control character that is a word and a token of its own; words that hold it are encoded one by one.
+_MARK = "\x1d"
+_MARK_BYTES = _MARK.encode()
+_GROUP = 256
 
 
 def default_tokenizer() -> str:
@@ -67,37 +71,67 @@ class ChunkCoder:
     """Encodes texts chunk by chunk; chunks and words seen before are looked up.
 
     For each text: its ids as decimals joined by spaces, and its decoded text, both bytes. The
-    tables are dropped when they pass ``most`` bytes, so memory is bounded and results are the same.
+    tables are renewed when they pass ``most`` bytes, so memory is bounded and results are the same.
     """
 
-    def __init__(self, path: str, bits: int = 9, most: int = 96 << 20):
+    def __init__(self, path: str, bits: int = 9, most: int = 160 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.bits, self.most, self.decodes = bits, most, self.tokenizer.decoder is None
+        self.bits, self.most = bits, most
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self.word_ids: dict[bytes, bytes] = {}
         self.word_text: dict[bytes, bytes] = {}
         self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
         self.word_size = self.chunk_size = 0
-        self.names: dict[int, str] = {}
-
-    def _token(self, i: int) -> str:
-        if i not in self.names:
-            self.names[i] = self.tokenizer.decode([i], skip_special_tokens=False)
-        return self.names[i]
+        self.old_ids: dict[bytes, bytes] = {}
+        self.old_text: dict[bytes, bytes] = {}
+        self._tables()
+
+    def _tables(self) -> None:
+        """The decimal and the decoded form of every id."""
+        n = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.decimal = [b"%d" % i for i in range(n)]
+        self.decoded = [self.tokenizer.decode([i], skip_special_tokens=False).encode() for i in range(n)]
+
+    def _ids(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of each word. Words go to the tokenizer many at a time, a mark between them that is one token."""
+        out: list = [None] * len(words)
+        plain = [i for i, w in enumerate(words) if _MARK_BYTES not in w and b"<|" not in w]
+        groups = [plain[i : i + _GROUP] for i in range(0, len(plain), _GROUP)] if self.mark is not None else []
+        joined = [f" {_MARK} ".join([words[i].decode() for i in g]) for g in groups]
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = e.ids
+            ends = np.flatnonzero(np.array(ids) == self.mark).tolist()
+            last = 0
+            for i, end in zip(g, [*ends, len(ids)], strict=True):
+                out[i] = ids[last:end]
+                last = end + 1
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i].decode() for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
 
     def learn(self, words: list[bytes]) -> None:
-        """Encodes words not seen before, in one batch."""
+        """Makes the words' codes known. When the table is full it becomes the old one, of which what is used again is kept."""
         if self.word_size > self.most:
-            self.word_ids.clear(), self.word_text.clear()
-            self.word_size = 0
-        new = list(dict.fromkeys(w for w in words if w not in self.word_ids))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.word_ids[w] = " ".join(map(str, e.ids)).encode()
-            self.word_text[w] = " ".join(map(self._token, e.ids)).encode()
-            self.word_size += 3 * len(w) + len(self.word_ids[w]) + 240
+            self.old_ids, self.old_text = self.word_ids, self.word_text
+            self.word_ids, self.word_text, self.word_size = {}, {}, 0
+        new = []
+        for w in dict.fromkeys(w for w in words if w not in self.word_ids):
+            if w in self.old_ids:
+                self.word_ids[w], self.word_text[w] = self.old_ids[w], self.old_text[w]
+                self.word_size += 2 * len(w) + len(self.word_ids[w]) + 240
+            else:
+                new.append(w)
+        decimal, decoded = self.decimal, self.decoded
+        for w, ids in zip(new, self._ids(new), strict=True):
+            self.word_ids[w] = code = b" ".join([decimal[i] for i in ids])
+            self.word_text[w] = b" ".join([decoded[i] for i in ids])
+            self.word_size += 2 * len(w) + len(code) + 240
 
     def code_part(self, part: bytes) -> tuple[bytes, bytes]:
         words = part.split()
@@ -105,8 +139,6 @@ class ChunkCoder:
             ids = list(map(self.word_ids.__getitem__, words))
         except KeyError:
             self.learn(words)
-            if any(w not in self.word_ids for w in words):  # the tables were dropped before these words
-                self.learn(words)
             ids = list(map(self.word_ids.__getitem__, words))
         return b" ".join(filter(None, ids)), b" ".join(filter(None, map(self.word_text.__getitem__, words)))
 
