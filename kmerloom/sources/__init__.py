@@ -1 +1 @@
-
+"""Sequence files as Spark data sources."""

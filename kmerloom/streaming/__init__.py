@@ -1 +1 @@
-
+"""Counts over streams of records."""
