@@ -13,14 +13,19 @@ def kmer_counts(stream: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     return kmers(stream, k, seq).groupBy("kmer").agg(F.count("*").alias("count"))
 
 
+def _timed(stream: DataFrame, time: str, late: str) -> DataFrame:
+    """Watermarks need time stamps with a zone; those without are read in the session's."""
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def windowed_kmer_counts(stream: DataFrame, k: int, time: str, window: str, late: str, seq: str = "seq") -> DataFrame:
     """Counts by event-time window; rows later than ``late`` are dropped, so state is bounded and windows are put out once."""
-    rows = kmers(stream.withWatermark(time, late), k, seq, (time,))
+    rows = kmers(_timed(stream, time, late), k, seq, (time,))
     return rows.groupBy(F.window(time, window), "kmer").agg(F.count("*").alias("count"))
 
 
 def windowed_events(stream: DataFrame, time: str, late: str, window: str, slide: str, keys: list[str], value: str) -> DataFrame:
-    rows = stream.withWatermark(time, late).groupBy(F.window(time, window, slide), *keys)
+    rows = _timed(stream, time, late).groupBy(F.window(time, window, slide), *keys)
     return rows.agg(F.count("*").alias("n"), F.sum(value).alias("total"))
 
 
