@@ -74,7 +74,7 @@ class ChunkCoder:
     tables are renewed when they pass ``most`` bytes, so memory is bounded and results are the same.
     """
 
-    def __init__(self, path: str, bits: int = 9, most: int = 160 << 20):
+    def __init__(self, path: str, bits: int = 9, most: int = 64 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -203,7 +203,7 @@ def _code_batches(batches, path: str, give: str):
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     c = coder(path)
-    for batch, texts in blocks(batches, 2 << 20):
+    for batch, texts in blocks(batches):
         _learn_block(c, texts)
         n, ids_col, text_col = [], [], []
         for t in texts:

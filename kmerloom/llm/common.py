@@ -131,7 +131,7 @@ def words_of(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.nd
     return h, doc, np.bincount(doc, minlength=len(texts)).astype(np.int64)
 
 
-def blocks(batches: Iterator, most_bytes: int = 8 << 20) -> Iterator[tuple]:
+def blocks(batches: Iterator, most_bytes: int = 3 << 20) -> Iterator[tuple]:
     """Slices Arrow batches with a ``text`` column into (batch slice, texts as bytes) of bounded size."""
     for batch in batches:
         texts = [b"" if t is None else t for t in batch.column("text").cast("binary").to_pylist()]
