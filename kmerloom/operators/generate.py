@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import DNA, Alphabet
-from ..functions.quality import ILLUMINA18, Codec, window_quality
+from ..functions.quality import ILLUMINA18, Codec
 
 PIECE = 64
 
@@ -48,16 +48,47 @@ def kmer_positions(records: DataFrame, k: int, seq: str = "seq", file_id: str =
     return rows.select("kmer", F.struct(F.col(file_id).alias("file_id"), F.col(start).alias("record_start"), offset.cast("long").alias("offset")).alias("position"))
 
 
+def _quality_batches(batches, k: int, codec: Codec, n_keep: int):
+    a = np.arange(256)
+    usable = (a <= codec.last) & (a - codec.first >= max(codec.least, 1))
+    logs = np.where(usable, np.log2(1 - 10.0 ** (-(np.where(usable, a, codec.first + 1) - codec.first) / 10)), -np.inf)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            seqs, quals = part.column(n_keep).to_pylist(), part.column(n_keep + 1).to_pylist()
+            sizes = [max(min(len(s or ""), len(q or "")) - k + 1, 0) for s, q in zip(seqs, quals, strict=True)]
+            texts, values = [], []
+            for s, q, n in zip(seqs, quals, sizes, strict=True):
+                if n:
+                    m = n + k - 1
+                    texts.append(_windows(s[:m], k))
+                    lg = np.lib.stride_tricks.sliding_window_view(logs[np.frombuffer(q[:m].encode("latin-1", "replace"), np.uint8)], k)
+                    values.append(np.exp2(lg.sum(1)))
+            if texts:
+                rows = np.repeat(np.arange(len(sizes)), sizes)
+                pos = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes if n])
+                cols = [c.take(pa.array(rows)) for c in part.columns[:n_keep]]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(pos), pa.concat_arrays(texts), pa.array(np.concatenate(values))], [*part.schema.names[:n_keep], "pos", "kmer", "quality"])
+
+
+def _windows(text: str, k: int) -> pa.Array:
+    """All windows of k characters of a text."""
+    n = len(text) - k + 1
+    if not text.isascii():
+        return pa.array([text[i : i + k] for i in range(n)], pa.string())
+    cut = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.frombuffer(text.encode(), np.uint8), k))
+    return pa.StringArray.from_buffers(n, pa.py_buffer(np.arange(0, (n + 1) * k, k, dtype=np.int32)[: n + 1]), pa.py_buffer(cut))
+
+
 def kmers_with_quality(records: DataFrame, k: int, codec: Codec = ILLUMINA18, seq: str = "seq", qual: str = "qual", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(keep..., pos, kmer, quality): each window with the product of its bases' probabilities. Text beyond the shorter of both is left out."""
-    rows = records.withColumn("_n", F.least(F.char_length(seq), F.char_length(qual)))
-    rows = rows.withColumn(seq, F.left(F.col(seq), F.col("_n"))).drop("_n")
-    rows = pieces(rows.select(*keep, seq, qual), k, seq)
-    rows = rows.withColumn("_q", F.substring(F.col(qual), F.col("base") + 1, F.col("windows") + k - 1)).drop(seq, qual)
-    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)))
-    cut = lambda c: F.substring(F.col(c), F.col("i") + 1, F.lit(k))
-    rows = rows.select(*keep, (F.col("base") + F.col("i")).alias("pos"), cut("part").alias("kmer"), cut("_q").alias("window"))
-    return rows.withColumn("quality", window_quality(F.col("window"), codec)).drop("window")
+    """(keep..., pos, kmer, quality): each window with the product of its bases' probabilities, 0 if one is unusable.
+
+    Each window is summed by itself, so no rounding drifts along a read. Text beyond the shorter of both is left out.
+    """
+    rows = records.select(*keep, seq, qual)
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "pos int, kmer string, quality double"])
+    return rows.mapInArrow(lambda it: _quality_batches(it, k, codec, len(keep)), schema)
 
 
 def kmers_with_edges(records: DataFrame, k: int, seq: str = "seq", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -165,3 +196,40 @@ def count_packed(records: DataFrame, k: int, model: str = "single", alphabet: Al
     t = alphabet.symbols[3].encode()
     found = records.select(seq).mapInArrow(lambda it: _packed_counts(it, k, model, t), "code long, count long")
     return found.groupBy("code").agg(F.sum("count").alias("count")).select(alphabet.unpack(F.col("code"), k).alias("kmer"), "count")
+
+
+def _first_packed(batches, k: int, order: str):
+    """Of each batch, for every canonical k-mer: how often it occurs, and where and on which strand first."""
+    for batch in batches:
+        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        by = sorted((i for i, t in enumerate(texts) if t and ids[i] is not None), key=ids.__getitem__)
+        group, size = [], 0
+        for j, i in enumerate(by):
+            group.append(i)
+            size += len(texts[i])
+            if size > 4 << 20 or j == len(by) - 1:
+                chars, owner = _flat([texts[i].encode("ascii", "replace") for i in group])
+                n = len(chars) - k + 1
+                if n > 0:
+                    whole = np.flatnonzero(owner[:n] == owner[k - 1 :])
+                    own = packed_windows(_CODE[chars], k)[whole]
+                    canon, first, count = np.unique(np.minimum(own, reverse_complement_codes(own, k)), return_index=True, return_counts=True)
+                    at = whole[first]
+                    begin = np.concatenate(([0], np.cumsum([len(texts[i]) for i in group])))
+                    pos = at - begin[owner[at]]
+                    cols = [pa.array(canon.view(np.int64)), batch.column(0).take(pa.array(np.array(group)[owner[at]])), pa.array(pos.astype(np.int64)), pa.array(own[first].view(np.int64)), pa.array(count)]
+                    yield pa.RecordBatch.from_arrays(cols, ["canon", order, "pos", "own", "count"])
+                group, size = [], 0
+
+
+def bimolecule_packed(records: DataFrame, k: int, order: str, seq: str = "seq") -> DataFrame:
+    """(kmer, count, order, pos): strands are one key, shown as it first occurred by (order, pos), and where that was.
+
+    For DNA and k up to 31, from raw text; combined by batch before the shuffle. Records without an ``order`` value are left out.
+    """
+    if not 1 <= k <= 31:
+        raise ValueError("k is from 1 to 31")
+    kind = dict(records.dtypes)[order]
+    found = records.select(order, seq).mapInArrow(lambda it: _first_packed(it, k, order), f"canon long, `{order}` {kind}, pos long, own long, count long")
+    out = found.groupBy("canon").agg(F.min(F.struct(order, "pos", "own")).alias("f"), F.sum("count").alias("count"))
+    return out.select(DNA.unpack(F.col("f.own"), k).alias("kmer"), "count", f"f.{order}", "f.pos")

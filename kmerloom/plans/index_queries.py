@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import aggregate, generate, ranges
-from ..operators.index import Index, bimolecule_map, in_order, strand
-from .common import canonical_sql, kmers_sql, raw_texts, registered, sequences, table
+from ..operators.index import Index, in_order, strand
+from .common import canonical_sql, kmers_sql, raw_texts, registered, table
 
 QUERIES: dict = {}
 query = registered(QUERIES)
@@ -227,8 +227,7 @@ def kmer_count_query(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {kmers_sql(8)}, o AS (SELECT kmer, doc_id, pos, {canonical_sql('kmer')} AS c FROM k) SELECT arg_min(kmer, (doc_id, pos)) AS kmer, min(doc_id) AS doc_id FROM o GROUP BY c")
 def kmer_bimolecule_map(spark, sf_dir) -> DataFrame:
-    rows = generate.kmers(sequences(spark, sf_dir), 8, keep=("doc_id",))
-    return bimolecule_map(rows, "doc_id", F.struct("doc_id", "pos"))
+    return generate.bimolecule_packed(raw_texts(spark, sf_dir), 8, "doc_id").select("kmer", "doc_id")
 
 
 @query("WITH i AS (SELECT user_id, event_id AS s, event_id + 20 AS e FROM events), m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM i), g AS (SELECT *, sum((r IS NULL OR s > r)::INT) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT user_id, min(s) AS start, max(e) AS \"end\" FROM g GROUP BY user_id, g")

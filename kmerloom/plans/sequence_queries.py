@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, kmer as km
 from ..functions.alphabet import ALPHABETS, DNA, DNA6, DNA16, RNA
 from ..functions.quality import ILLUMINA15, ILLUMINA18
-from ..operators import filters, generate, graph, index
+from ..operators import filters, generate, graph
 from ..operators.aggregate import saturated, sizes
 from .common import TEXT, canonical_sql, kmers_sql, raw_texts, rc_sql, registered, sequences, sequences_sql
 
@@ -38,8 +38,7 @@ def kmer_count_canonical_31(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {kmers_sql(7)}, o AS (SELECT kmer, doc_id, pos, {canonical_sql('kmer')} AS c FROM k) SELECT arg_min(kmer, (doc_id, pos)) AS kmer, count(*) AS count FROM o GROUP BY c")
 def kmer_count_bimolecule(spark, sf_dir) -> DataFrame:
-    rows = generate.kmers(sequences(spark, sf_dir), 7, keep=("doc_id",))
-    return index.bimolecule_counts(rows, order=F.struct("doc_id", "pos"))
+    return generate.bimolecule_packed(raw_texts(spark, sf_dir), 7, "doc_id").select("kmer", "count")
 
 
 @query(f"WITH {kmers_sql(6, RNA)} SELECT kmer, count(*) AS count FROM k GROUP BY kmer")

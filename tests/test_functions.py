@@ -12,7 +12,7 @@ from kmerloom.functions import ids, kmer as km
 from kmerloom.functions.alphabet import ALPHABETS, DNA, DNA6, DNA16, DNA_IUPAC, RNA
 from kmerloom.functions.quality import ILLUMINA13, ILLUMINA15, ILLUMINA18, window_quality
 from kmerloom.operators import aggregate, generate, graph, ranges, streams
-from kmerloom.operators.index import Index, strand
+from kmerloom.operators.index import Index, bimolecule_counts, bimolecule_map, strand
 
 
 def one(spark, *columns):
@@ -94,6 +94,20 @@ def test_kmers_of_short_and_long_records(spark):
         assert sorted(map(tuple, generate.count_packed(df, k, model).collect())) == sorted(map(tuple, plain.collect()))
     with pytest.raises(ValueError):
         generate.count_packed(df, 32)
+    rows = generate.kmers(df, 5, keep=("id",))
+    order = F.struct("id", "pos")
+    both = generate.bimolecule_packed(df, 5, "id")
+    assert sorted(map(tuple, bimolecule_counts(rows, order=order).collect())) == sorted((r.kmer, r["count"]) for r in both.collect())
+    assert sorted(map(tuple, bimolecule_map(rows, "id", order).collect())) == sorted((r.kmer, r.id) for r in both.collect())
+
+
+def test_kmer_qualities_match_the_column_form(spark):
+    df = spark.createDataFrame([(1, "ACGTACG", "I5!I5II"), (2, "AC", "II"), (3, "ACGTT", "IIII"), (4, None, None), (5, "aé日c", "5555")], "id int, seq string, qual string")
+    rows = generate.kmers_with_quality(df, 3, keep=("id",)).collect()
+    assert [(r.id, r.pos, r.kmer) for r in rows] == [(1, i, "ACGTACG"[i : i + 3]) for i in range(5)] + [(3, 0, "ACG"), (3, 1, "CGT"), (5, 0, "aé日"), (5, 1, "é日c")]
+    quals = {1: "I5!I5II", 3: "IIII", 5: "5555"}
+    want = spark.createDataFrame([(i, quals[r.id][r.pos : r.pos + 3]) for i, r in enumerate(rows)], "i int, q string").select("i", window_quality(F.col("q")).alias("x")).orderBy("i").collect()
+    assert all(math.isclose(a.quality, b.x, rel_tol=1e-12) for a, b in zip(rows, want))
 
 
 def test_edges_turn_with_the_strand(spark):
