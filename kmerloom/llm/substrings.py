@@ -25,8 +25,6 @@ from .common import _INV, _powers, blocks, mix, partitions, prepare, text_or_emp
 WINDOW, GRAM = 35, 8
 #: Different segments of one shard up to which one task builds its automaton.
 SHARD_SEGMENTS = 4096
-#: Rows up to which positions or spans by document are broadcast; beyond it, both sides are shuffled.
-BROADCAST_ROWS = 400_000
 _P = 0x9E3779B97F4A7C15
 
 
@@ -225,9 +223,8 @@ def _keep_batches(batches, window: int):
 
 
 def _with(docs: DataFrame, more: DataFrame, how: str) -> DataFrame:
-    """docs joined to rows of more by document, more being broadcast if its counted rows allow it."""
+    """docs joined to rows of more by document. Both sides are shuffled: what is known of documents grows with them."""
     more = more.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    more = F.broadcast(more) if more.count() <= BROADCAST_ROWS else more
     return docs.join(more, docs.doc_id.eqNullSafe(F.col("_id")) & (docs.text_hash == F.col("_hash")), how).drop("_id", "_hash")
 
 
@@ -242,7 +239,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     kind = dict(docs.dtypes)["doc_id"]
     found = written(docs.mapInArrow(lambda it: _segment_batches(it, window, gram), f"doc_id {kind}, text_hash long, start int, windows int, anchor long, segment long"))
     shards = found.groupBy("anchor").agg(F.count("*").alias("total"), F.min("segment").alias("low"), F.max("segment").alias("high")).where("total > 1")
-    again = written(found.join(shards.select("anchor", (F.col("low") == F.col("high")).alias("alike")), "anchor"))
+    shards = written(shards.select("anchor", (F.col("low") == F.col("high")).alias("alike")))  # apart, so that the join can split a hot anchor
+    again = written(found.join(shards, "anchor"))
     mixed = again.where("not alike").drop("alike")
     each = mixed.groupBy("anchor", "segment").agg(F.count("*").alias("occurs"), F.min(F.struct("doc_id", "text_hash", "start", "windows")).alias("rep")).checkpoint()
     wide = each.groupBy("anchor").agg(F.count("*").alias("different"))

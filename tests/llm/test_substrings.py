@@ -66,7 +66,6 @@ def test_each_window_is_in_one_segment(docs):
 def test_matches_counting_all_windows(spark, monkeypatch, large):
     if large:
         monkeypatch.setattr(substrings, "SHARD_SEGMENTS", 1)
-        monkeypatch.setattr(substrings, "BROADCAST_ROWS", 0)
     rng = random.Random(4)
     vocab = [f"w{i}" for i in range(40)]
     shared = [[rng.choice(vocab) for _ in range(rng.randint(8, 40))] for _ in range(5)]
