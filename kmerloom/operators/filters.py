@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,20 +20,29 @@ def without_n(records: DataFrame, seq: str = "seq", any_case: bool = False) -> D
     return records.where(~has)
 
 
+def _split_batches(batches, pattern: str, seq: str, qual: str | None):
+    runs = re.compile(pattern)
+    for batch in batches:
+        for start in range(0, batch.num_rows, 64):
+            part = batch.slice(start, 64)
+            quals = part.column(qual).to_pylist() if qual else [None] * part.num_rows
+            row, at, text, q = [], [], [], []
+            for i, (s, own) in enumerate(zip(part.column(seq).to_pylist(), quals, strict=True)):
+                for m in runs.finditer(s or ""):
+                    row.append(i)
+                    at.append(m.start())
+                    text.append(m.group())
+                    q.append(own[m.start() : m.end()] if own is not None else None)
+            made = {seq: pa.array(text, pa.string())} | ({qual: pa.array(q, pa.string())} if qual else {})
+            cols = [made.get(n, part.column(n).take(pa.array(row, pa.int64())) if n not in made else None) for n in part.schema.names]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(at, pa.int64())], [*part.schema.names, "offset"])
+
+
 def split_on(records: DataFrame, bad: str = "Nn", seq: str = "seq", qual: str | None = None) -> DataFrame:
-    """Each record's maximal runs without a bad character: offset in the record, the run as ``seq``, its own part of ``qual``."""
-    runs = F.regexp_extract_all(F.col(seq), F.lit(f"([{bad}]+|[^{bad}]+)"), F.lit(1))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<offset:int,run:string>>").alias("out"))
-
-    def step(acc: Column, run: Column) -> Column:
-        one = F.struct(acc["at"].alias("offset"), run.alias("run"))
-        return F.struct((acc["at"] + F.char_length(run)).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    found = F.filter(F.aggregate(runs, start, step, lambda acc: acc["out"]), lambda r: ~r["run"].rlike(f"^[{bad}]"))
-    rows = records.withColumn("_r", F.explode(found))
-    if qual:
-        rows = rows.withColumn(qual, F.substring(F.col(qual), F.col("_r.offset") + 1, F.char_length("_r.run")))
-    return rows.withColumn("offset", F.col("_r.offset").cast("long")).withColumn(seq, F.col("_r.run")).drop("_r")
+    """Each record's maximal runs without a bad character: the run as ``seq``, its own part of ``qual``, its offset in the record."""
+    rows = records.drop("offset")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(lambda it: _split_batches(it, f"[^{re.escape(bad)}]+", seq, qual), f"{schema}, offset long")
 
 
 def without_line_ends(records: DataFrame, seq: str = "seq") -> DataFrame:
