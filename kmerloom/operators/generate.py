@@ -104,6 +104,11 @@ for _c, _v in zip(b"CGTcgt", (1, 2, 3, 1, 2, 3), strict=True):
     _CODE[_c] = _v
 
 
+def two_bit_codes(chars: np.ndarray) -> np.ndarray:
+    """Codes of DNA letters in either case; others are A."""
+    return _CODE[chars]
+
+
 def packed_windows(codes: np.ndarray, k: int) -> np.ndarray:
     """All windows of k two-bit codes as numbers: windows of doubling width, put together by the bits of k."""
     acc, got, width, wide = np.zeros(len(codes), np.uint64), 0, 1, codes
@@ -138,7 +143,7 @@ def _packed_counts(batches, k: int, model: str, t_symbol: bytes):
 
     size = 0
     for batch in batches:
-        for chars, owner in _joined(batch.column(0)):
+        for chars, owner in joined_texts(batch.column(0)):
             n = len(chars) - k + 1
             if n <= 0:
                 continue
@@ -158,7 +163,7 @@ def _packed_counts(batches, k: int, model: str, t_symbol: bytes):
         yield from out(*combined())
 
 
-def _joined(column: pa.Array, most: int = 4 << 20):
+def joined_texts(column: pa.Array, most: int = 4 << 20):
     """(characters, record of each) of some records at once; a character beyond ASCII counts as one."""
     group, size = [], 0
     for s in column.to_pylist():

@@ -244,23 +244,23 @@ e AS (SELECT {canonical_sql('kmer')} AS kmer, CASE WHEN kmer <= {rc_sql('kmer')}
 n AS (SELECT kmer, {', '.join(f"count(*) FILTER (r = '{b}') AS out_{b.lower()}" for b in 'ACGT')}, {', '.join(f"count(*) FILTER (l = '{b}') AS in_{b.lower()}" for b in 'ACGT')}, count(*) AS self FROM e GROUP BY kmer)"""
 
 
-def _nodes(spark, sf_dir, k):
-    return graph.edge_tuples(sequences(spark, sf_dir), k)
+def _nodes(spark, sf_dir, k, most=None):
+    return graph.count_nodes_packed(raw_texts(spark, sf_dir), k, most=most)
 
 
 @query(_edges_sql(7) + " SELECT * FROM n")
 def dbg_edge_counts(spark, sf_dir) -> DataFrame:
-    return graph.count_nodes(_nodes(spark, sf_dir, 7))
+    return _nodes(spark, sf_dir, 7)
 
 
 @query(_edges_sql(7) + " SELECT kmer, " + ", ".join(f"least({c}, 255)::BIGINT AS {c}" for c in (*graph.OUT, *graph.IN, "self")) + " FROM n")
 def dbg_saturated_counts(spark, sf_dir) -> DataFrame:
-    return graph.count_nodes(_nodes(spark, sf_dir, 7), 255)
+    return _nodes(spark, sf_dir, 7, 255)
 
 
 @query(_edges_sql(9) + " SELECT kmer, (" + " + ".join(f"CASE WHEN {c} > 0 THEN {1 << i} ELSE 0 END" for i, c in enumerate((*graph.OUT, *graph.IN))) + ")::INT AS mask FROM n")
 def dbg_edge_exists(spark, sf_dir) -> DataFrame:
-    return graph.mask_nodes(_nodes(spark, sf_dir, 9))
+    return graph.counts_to_masks(_nodes(spark, sf_dir, 9))
 
 
 def _neighbour_sql(columns, made) -> str:
@@ -269,17 +269,17 @@ def _neighbour_sql(columns, made) -> str:
 
 @query(_neighbour_sql(graph.OUT, lambda b: f"substr(kmer, 2) || '{b}'"))
 def dbg_out_neighbours(spark, sf_dir) -> DataFrame:
-    return graph.out_neighbours(graph.count_nodes(_nodes(spark, sf_dir, 7)))
+    return graph.out_neighbours(_nodes(spark, sf_dir, 7))
 
 
 @query(_neighbour_sql(graph.IN, lambda b: f"'{b}' || left(kmer, 6)"))
 def dbg_in_neighbours(spark, sf_dir) -> DataFrame:
-    return graph.in_neighbours(graph.count_nodes(_nodes(spark, sf_dir, 7)), 7)
+    return graph.in_neighbours(_nodes(spark, sf_dir, 7), 7)
 
 
 @query(_edges_sql(7) + " SELECT kmer, out_a AS frequency FROM n")
 def dbg_edge_frequency(spark, sf_dir) -> DataFrame:
-    return graph.edge_frequency(graph.count_nodes(_nodes(spark, sf_dir, 7)), "out_a")
+    return graph.edge_frequency(_nodes(spark, sf_dir, 7), "out_a")
 
 
 @query(_edges_sql(5) + ", q AS (SELECT count(*) AS tuples, sum((l <> '')::INT)::BIGINT AS with_left, sum((r <> '')::INT)::BIGINT AS with_right FROM e0) SELECT * FROM q")

@@ -115,6 +115,11 @@ def test_edges_turn_with_the_strand(spark):
     nodes = {r.kmer: r for r in graph.count_nodes(graph.edge_tuples(df, 3)).collect()}
     assert nodes["CGA"].self == 4 and nodes["GAA"].self == 2
     assert nodes["GAA"].in_c == 2 and nodes["CGA"].out_a == 2 and nodes["CGA"].in_t == 4
+    for k in (1, 3, 4):
+        slow, fast = graph.edge_tuples(df, k), graph.count_nodes_packed(df, k)
+        assert sorted(map(tuple, graph.count_nodes(slow).collect())) == sorted(map(tuple, fast.collect()))
+        assert sorted(map(tuple, graph.mask_nodes(slow).collect())) == sorted(map(tuple, graph.counts_to_masks(fast).collect()))
+        assert sorted(map(tuple, graph.count_nodes(slow, 2).collect())) == sorted(map(tuple, graph.count_nodes_packed(df, k, most=2).collect()))
     masks = graph.mask_to_nodes(graph.mask_nodes(graph.edge_tuples(df, 3)))
     assert sorted(r.neighbour for r in graph.out_neighbours(masks).where("kmer = 'CGA'").collect()) == ["GAA"]
     e = one(spark, graph.edge_code(F.lit("A"), F.lit("N")).alias("a"), graph.edge_code(F.lit(""), F.lit("")).alias("b"), graph.reverse_complement_edges(graph.edge_code(F.lit("A"), F.lit("C"))).alias("c"), graph.edge_code(F.lit("G"), F.lit("T")).alias("d"))
