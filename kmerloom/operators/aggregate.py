@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 
 def first_wins(df: DataFrame, keys: list[str], value: Column, order: Column, name: str = "value") -> DataFrame:
     """One value for each key: that of the least ``order``."""
@@ -23,6 +25,7 @@ def reduced_by(df: DataFrame, keys: list[str], value: str, fold: Callable, name:
 
     For folds that Spark has no aggregate for.
     """
+    ship_package(df.sparkSession)
     kinds = dict(df.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"`{name}` {kinds[value]}"])
 

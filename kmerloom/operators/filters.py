@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 
 def where(records: DataFrame, predicate: Column | None = None) -> DataFrame:
     """Records that satisfy the predicate; none given: all."""
@@ -40,6 +42,7 @@ def _split_batches(batches, pattern: str, seq: str, qual: str | None):
 
 def split_on(records: DataFrame, bad: str = "Nn", seq: str = "seq", qual: str | None = None) -> DataFrame:
     """Each record's maximal runs without a bad character: the run as ``seq``, its own part of ``qual``, its offset in the record."""
+    ship_package(records.sparkSession)
     rows = records.drop("offset")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(lambda it: _split_batches(it, f"[^{re.escape(bad)}]+", seq, qual), f"{schema}, offset long")

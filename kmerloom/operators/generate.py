@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import DNA, Alphabet
 from ..functions.quality import ILLUMINA18, Codec
+from ..session import ship_package
 
 PIECE = 64
 
@@ -85,6 +86,7 @@ def kmers_with_quality(records: DataFrame, k: int, codec: Codec = ILLUMINA18, se
 
     Each window is summed by itself, so no rounding drifts along a read. Text beyond the shorter of both is left out.
     """
+    ship_package(records.sparkSession)
     rows = records.select(*keep, seq, qual)
     kinds = dict(rows.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "pos int, kmer string, quality double"])
@@ -198,6 +200,7 @@ def count_packed(records: DataFrame, k: int, model: str = "single", alphabet: Al
     """
     if alphabet.bits != 2 or not 1 <= k <= 31:
         raise ValueError("packed counting takes two-bit alphabets and k from 1 to 31")
+    ship_package(records.sparkSession)
     t = alphabet.symbols[3].encode()
     found = records.select(seq).mapInArrow(lambda it: _packed_counts(it, k, model, t), "code long, count long")
     return found.groupBy("code").agg(F.sum("count").alias("count")).select(alphabet.unpack(F.col("code"), k).alias("kmer"), "count")
@@ -234,6 +237,7 @@ def bimolecule_packed(records: DataFrame, k: int, order: str, seq: str = "seq")
     """
     if not 1 <= k <= 31:
         raise ValueError("k is from 1 to 31")
+    ship_package(records.sparkSession)
     kind = dict(records.dtypes)[order]
     found = records.select(order, seq).mapInArrow(lambda it: _first_packed(it, k, order), f"canon long, `{order}` {kind}, pos long, own long, count long")
     out = found.groupBy("canon").agg(F.min(F.struct(order, "pos", "own")).alias("f"), F.sum("count").alias("count"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import DNA, Alphabet
+from ..session import checkpointed
 
 #: Kinds of index: how entries with equal keys are combined.
 KINDS = ("map", "multimap", "reduction", "counting", "saturating")
@@ -78,7 +79,7 @@ class Index:
         return self._combined(self.rows.select(*cols).unionByName(new.select(*cols)))
 
     def checkpoint(self) -> Index:
-        return replace(self, rows=self.rows.checkpoint())
+        return replace(self, rows=checkpointed(self.rows))
 
     def _asked(self, queries: DataFrame) -> DataFrame:
         q = self._keyed(queries).select(*self.keys)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def numbered(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:
     """df with 0, 1, ... in the order of the columns. Rows are dealt by ranges, numbered in each, and moved by the sizes of those before."""
-    parts = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).checkpoint()
+    parts = checkpointed(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
     offsets = sizes.select("_p", before.alias("_o"))
