@@ -144,10 +144,10 @@ def group_predicate(spark, sf_dir) -> DataFrame:
     return some.with_group_predicate(lambda value: F.count(value) >= 18).select("key", "value")
 
 
-@query("SELECT o_custkey AS key, sum(o_totalprice) AS total, min(o_totalprice) AS least, max(o_totalprice) AS most, count(*) AS n, bit_or(o_orderkey) AS bits FROM orders GROUP BY 1")
+@query("SELECT o_custkey AS key, round(sum(o_totalprice), 2) AS total, min(o_totalprice) AS least, max(o_totalprice) AS most, count(*) AS n, bit_or(o_orderkey) AS bits FROM orders GROUP BY 1")
 def reduction_folds(spark, sf_dir) -> DataFrame:
     o = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "key")
-    return aggregate.reduced(o, ["key"], total=F.sum("o_totalprice"), least=F.min("o_totalprice"), most=F.max("o_totalprice"), n=F.count("*"), bits=F.bit_or("o_orderkey"))
+    return aggregate.reduced(o, ["key"], total=F.round(F.sum("o_totalprice"), 2), least=F.min("o_totalprice"), most=F.max("o_totalprice"), n=F.count("*"), bits=F.bit_or("o_orderkey"))
 
 
 @query("SELECT user_id, bit_xor(event_id) AS value FROM events GROUP BY 1")

@@ -12,10 +12,10 @@ QUERIES: dict = {}
 query = registered(QUERIES)
 
 
-@query("SELECT event_id, user_id, sum(value) OVER w AS total, max(value) OVER w AS most FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) QUALIFY count(*) OVER w = 4")
+@query("SELECT event_id, user_id, round(sum(value) OVER w, 6) AS total, max(value) OVER w AS most FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) QUALIFY count(*) OVER w = 4")
 def sliding_window(spark, sf_dir) -> DataFrame:
     out = streams.sliding(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], 4, total=F.sum("value"), most=F.max("value"))
-    return out.select("event_id", "user_id", "total", "most")
+    return out.select("event_id", "user_id", F.round("total", 6).alias("total"), "most")
 
 
 @query("SELECT p_partkey, p_retailprice * 2 AS twice FROM part WHERE p_size > 25")
