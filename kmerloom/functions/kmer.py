@@ -97,3 +97,36 @@ def place(kmer: Column, parts: int) -> Column:
 def place_by_prefix(kmer: Column, n: int) -> Column:
     """Identity placement: the first n characters."""
     return prefix(kmer, n)
+
+
+def bit_and(a: Column, b: Column) -> Column:
+    return a.bitwiseAND(b)
+
+
+def bit_or(a: Column, b: Column) -> Column:
+    return a.bitwiseOR(b)
+
+
+def bit_xor(a: Column, b: Column) -> Column:
+    return a.bitwiseXOR(b)
+
+
+def shift_bits(code: Column, n: int) -> Column:
+    """Moved n bits to the front, or to the end for a negative n."""
+    return F.shiftleft(code, n) if n >= 0 else F.shiftrightunsigned(code, -n)
+
+
+def from_hex(text: Column) -> Column:
+    """A packed k-mer from its hexadecimal digits, up to 62 bits."""
+    return F.conv(text, 16, 10).cast("long")
+
+
+def pack_wide(kmer: Column, alphabet: Alphabet) -> Column:
+    """A k-mer of any length as bytes that sort as its codes do, two symbols a byte; an odd last half is 0."""
+    key = alphabet.order_key(kmer)
+    return F.unhex(F.when(F.char_length(key) % 2 == 1, F.concat(key, F.lit("0"))).otherwise(key))
+
+
+def unpack_wide(code: Column, k: int, alphabet: Alphabet) -> Column:
+    s = alphabet._unique()
+    return F.translate(F.left(F.hex(code), F.lit(k)), "0123456789ABCDEF"[: len(s)], s)

@@ -12,6 +12,7 @@ from kmerloom.functions import ids, kmer as km
 from kmerloom.functions.alphabet import ALPHABETS, DNA, DNA6, DNA16, DNA_IUPAC, RNA
 from kmerloom.functions.quality import ILLUMINA13, ILLUMINA15, ILLUMINA18, window_quality
 from kmerloom.operators import aggregate, generate, graph, ranges, streams
+from kmerloom.sources.random import random_reads, random_records
 from kmerloom.operators.index import Index, bimolecule_counts, bimolecule_map, strand
 
 
@@ -147,3 +148,21 @@ def test_streams_and_ranges(spark):
     got = one(spark, ranges.hull(F.lit(1), F.lit(3), F.lit(5), F.lit(6)).alias("h"), ranges.overlaps(F.lit(1), F.lit(3), F.lit(3), F.lit(4)).alias("o"), ranges.adjacent(F.lit(1), F.lit(3), F.lit(3), F.lit(4)).alias("a"), ranges.contains(F.lit(1), F.lit(9), F.lit(3), F.lit(4)).alias("c"), ranges.shifted(F.lit(1), F.lit(2), F.lit(5)).alias("s"), ranges.intersection(F.lit(1), F.lit(2), F.lit(2), F.lit(3)).alias("i"))
     assert tuple(got.h) == (1, 6) and not got.o and got.a and got.c and tuple(got.s) == (6, 7) and got.i is None
     assert aggregate.rebalanced(df, 3).rdd.getNumPartitions() == 3 and aggregate.sampled(df, 1.0, 1).count() == 10
+
+
+def test_bits_and_wide_packing(spark):
+    got = one(spark, km.bit_and(F.lit(12), F.lit(10)).alias("a"), km.bit_or(F.lit(12), F.lit(10)).alias("o"), km.bit_xor(F.lit(12), F.lit(10)).alias("x"), km.shift_bits(F.lit(3), 2).alias("l"), km.shift_bits(F.lit(12), -2).alias("r"), km.from_hex(F.lit("1B")).alias("h"))
+    assert tuple(got) == (8, 14, 6, 12, 3, 27)
+    rng = random.Random(8)
+    s = ["".join(rng.choice("ACGTN") for _ in range(41)) for _ in range(60)]
+    rows = spark.createDataFrame([(x,) for x in s], "s string").withColumn("p", km.pack_wide(F.col("s"), DNA6)).withColumn("u", km.unpack_wide(F.col("p"), 41, DNA6)).collect()
+    code = {c: i for i, c in enumerate(".A?CT?GN") if c != "?"}
+    assert all(r.u == r.s for r in rows)
+    assert sorted(rows, key=lambda r: bytes(r.p)) == sorted(rows, key=lambda r: [code[c] for c in r.s])
+
+
+def test_random_records(spark):
+    a, b = (random_records(spark, 50, 40, seed=2).collect() for _ in range(2))
+    assert a == b and len({r.seq for r in a}) == 50 and set("".join(r.seq for r in a)) == set("ACGT") and {len(r.seq) for r in a} == {40}
+    r = random_reads(spark, 5, 10).first()
+    assert len(r.qual) == 10 and all(33 <= ord(c) <= 126 for c in r.qual)
