@@ -74,7 +74,7 @@ class ChunkCoder:
     tables are renewed when they pass ``most`` bytes, so memory is bounded and results are the same.
     """
 
-    def __init__(self, path: str, bits: int = 9, most: int = 64 << 20):
+    def __init__(self, path: str, bits: int = 9, most: int = 24 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

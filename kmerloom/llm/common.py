@@ -3,41 +3,24 @@
 from __future__ import annotations
 
 import atexit
-import os
-import shutil
-import tempfile
+import ctypes
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch: few enough that a batch of very long texts stays small.
-ARROW_ROWS = 1024
-
-_shipped: set[str] = set()
+from ..session import ensure_checkpoint_dir, ship_package
 
+#: Rows in one Arrow batch: few enough that a batch of very long texts stays small.
+ARROW_ROWS = 1000
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Makes the package importable on every executor and sets a checkpoint folder where none is set."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        _shipped.add(sc.applicationId)
-        root = Path(__file__).resolve().parents[2]
-        folder = tempfile.mkdtemp(prefix="kmerloom-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        archive = os.path.join(folder, "kmerloom_pkg.zip")
-        with zipfile.ZipFile(archive, "w") as z:
-            for p in sorted((root / "kmerloom").rglob("*.py")):
-                z.write(p, p.relative_to(root))
-        sc.addPyFile(archive)
-        if not spark.conf.get("spark.checkpoint.dir", None):
-            own = tempfile.mkdtemp(prefix="kmerloom-ckpt-")
-            atexit.register(shutil.rmtree, own, ignore_errors=True)
-            sc.setCheckpointDir(own)
+    """Makes the package importable on every executor, sets a checkpoint folder where none is set, and bounds batches."""
+    ship_package(spark)
+    ensure_checkpoint_dir(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark
 
@@ -131,7 +114,16 @@ def words_of(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.nd
     return h, doc, np.bincount(doc, minlength=len(texts)).astype(np.int64)
 
 
-def blocks(batches: Iterator, most_bytes: int = 3 << 20) -> Iterator[tuple]:
+def trim() -> None:
+    """Gives memory that is free back to the system: workers outlive their tasks, and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only the GNU C library has it
+        pass
+
+
+def blocks(batches: Iterator, most_bytes: int = 1 << 20) -> Iterator[tuple]:
     """Slices Arrow batches with a ``text`` column into (batch slice, texts as bytes) of bounded size."""
     for batch in batches:
         texts = [b"" if t is None else t for t in batch.column("text").cast("binary").to_pylist()]
@@ -143,3 +135,4 @@ def blocks(batches: Iterator, most_bytes: int = 3 << 20) -> Iterator[tuple]:
             size += len(t)
         if at < len(texts):
             yield batch.slice(at), texts[at:]
+    trim()

@@ -88,7 +88,7 @@ def _word_batches(batches, most: int = 3_000_000):
         for i in range(0, len(w), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(w[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000])], ["w", "n"])
 
-    for batch, texts in blocks(batches):
+    for batch, texts in blocks(batches, 4 << 20):
         learn = ~np.array(batch.column("held_out").to_pylist(), bool)
         w, doc, _ = _tokens(texts)
         w, n = np.unique(w[learn[doc]], return_counts=True)
@@ -129,7 +129,7 @@ def _pairs(w: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _pair_batches(batches, totals: Totals):
     """Counts of (word, context) of what is learnt, packed by shard: columns shard, w, u, n as bytes."""
-    for batch, texts in blocks(batches):
+    for batch, texts in blocks(batches, 4 << 20):
         learn = ~np.array(batch.column("held_out").to_pylist(), bool)
         w, doc, _ = _tokens(texts)
         u = _contexts(w, totals)
@@ -320,7 +320,7 @@ def _block_batches(batches, norms: Norms):
 
     g, serial = norms.totals, 0
     task = TaskContext.get().partitionId()
-    for batch, texts in blocks(batches):
+    for batch, texts in blocks(batches, 4 << 20):
         held = np.array(batch.column("held_out").to_pylist(), bool)
         w, doc, counts = _tokens(texts)
         u = _contexts(w, g)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, partitions, prepare, text_or_empty, words_of, written
+from .common import blocks, mix, partitions, prepare, text_or_empty, trim, words_of, written
 from .graph import components
 
 N_GRAM, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.9999, 7
@@ -178,6 +178,7 @@ def _compare_batches(batches, n: int, similarity: float):
             yield flush()
             out.clear()
     yield flush()
+    trim()
 
 
 def near_classes(docs: DataFrame, sig: DataFrame, n: int = N_GRAM, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
