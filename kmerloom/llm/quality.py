@@ -210,21 +210,21 @@ def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 3000, most_lines: i
     return train(x, length, counts, np.array([r.label for r in got], np.int64))
 
 
-def _score_batches(batches, model: Model):
+def _score_batches(batches, model: Model, name: str):
     for batch, texts in blocks(batches):
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(texts), pa.float64())], [*batch.schema.names, "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(texts), pa.float64())], [*batch.schema.names, name])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column score, 0 to 1: likeness to documents labelled 1. All rows stay.
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with a column ``name``, 0 to 1: likeness to documents labelled 1. All rows stay; a column of that name is replaced.
 
     Only the text enters the score, all its lines weighted by length. Null, empty and blank texts get
     the base rate of label 1; repeated rows get the same score; no rows give no rows.
     """
     prepare(docs.sparkSession)
-    plain = docs.drop("score")
+    plain = docs.drop(name)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
-    return plain.mapInArrow(lambda it: _score_batches(it, model), f"{schema}, score double")
+    return plain.mapInArrow(lambda it: _score_batches(it, model, name), f"{schema}, `{name}` double")
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from kmerloom.llm import bpe, quality, secrets
 
@@ -32,9 +34,10 @@ def test_stages_against_plain_versions(spark):
 
 
 def test_stages_keep_columns_and_take_odd_rows(spark):
-    for docs in (odd_docs(spark), empty_docs(spark)):
+    for docs in (odd_docs(spark).withColumn("score", F.lit("mine")), empty_docs(spark).withColumn("score", F.lit("mine"))):
+        columns = docs.columns
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             n, docs = docs.count(), (stage(spark, docs, AT) if k < 4 else docs)
-            assert docs.columns == odd_docs(spark).columns and docs.count() <= n
+            assert docs.columns == columns and docs.count() <= n and docs.where("score <> 'mine'").isEmpty()
         assert bpe.encode(docs).count() == docs.count()
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality" and corpus_pipeline.ORACLE_SQL is None
