@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import blocks, partitions, prepare, words_of, written
 
 CONTEXTS, SWEEPS, BURN_IN, STRENGTH = 256, 6, 3, 1.0
-#: Training tokens for each shard of words.
-SHARD_TOKENS = 1_500_000
+#: Shards of words at least, and training tokens of one at most: few shards pack and compress better.
+SHARDS, SHARD_TOKENS = 64, 4_000_000
 _END = 0x8E5C3A9F17B2D461  # the end's hash; a document's first token follows an end
 _EXACT = 48  # counts up to this draw tables from their exact conditional
 
@@ -452,7 +452,7 @@ def learn(docs: DataFrame, contexts: int = CONTEXTS) -> Norms:
     frequent = np.array(sorted({*top, _END}), np.uint64)
     discount = min(0.95, max(0.1, once / max(once + 2 * twice, 1)))
     unknown = min(0.98, max(0.5, once / max(discount**2 * words, 1)))
-    shards = max(1, min(2**20, max(math.ceil(tokens / SHARD_TOKENS), 2 * partitions(spark) if tokens > 10 * SHARD_TOKENS else 1)))
+    shards = min(2**20, max(SHARDS, math.ceil(tokens / SHARD_TOKENS)))
     g = Totals(int(tokens), int(words), discount, unknown, frequent, shards)
     pairs = rows.mapInArrow(lambda it: _pair_batches(it, g), "shard int, w binary, u binary, n binary")
     dealt = pairs.repartition(partitions(spark), "shard").sortWithinPartitions("shard")
