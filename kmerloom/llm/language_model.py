@@ -1,15 +1,13 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
-Two levels of restaurants: one for each context (the CONTEXTS most frequent words, the document's start, and one
-for all other preceding words), and the root that they share as parent. The root's base measure gives
-part of its mass to the one symbol of all unknown words and deals the rest evenly to the known ones. Seating
-is kept as tables per (context, word); Gibbs sweeps draw each number of tables from its conditional given all others. The
-probability of a word is averaged over the sweeps kept.
-
-Words are dealt to shards by ranges of their hash. A shard sees all contexts of its words, and estimates the totals that run over
-all words from its own share while it samples; the totals by which probabilities are normed are exact sums.
-Words that are contexts themselves are so frequent that their tables, a bounded square, go to every task, and
-their occurrences are never shuffled. What the corpus gives (words, pairs, their tables) grows with it.
+Two levels of restaurants: one for each preceding word (or the document's start), however rare, and the root that they share
+as parent. The root's base measure gives part of its mass to the one symbol of all unknown words and deals the rest evenly to
+the known ones. Seating is kept as tables per (context, word); Gibbs sweeps draw each number of tables given the totals of the sweep
+before. The probability of a word is averaged over the sweeps kept.
+
+Pairs, contexts and words are written tables that grow with the corpus. Each sweep joins the totals of all tables by context and by
+word to the pairs that occur more than once; a pair that occurs once has one table in every sweep. Draws depend on the pair and the sweep
+alone, not on how rows are dealt. Counts above _EXACT draw tables by an approximation of forward seating.
 """
 
 from __future__ import annotations
@@ -22,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, partitions, prepare, words_of, written
+from .common import blocks, mix, partitions, prepare, words_of, written
 
-CONTEXTS, SWEEPS, BURN_IN, STRENGTH = 256, 6, 3, 1.0
-#: Shards of words at least, and training tokens of one at most: few shards pack and compress better.
+SWEEPS, BURN_IN, STRENGTH = 6, 3, 1.0
+#: Shards of pairs at least, and training tokens of one at most: few shards pack and compress better.
 SHARDS, SHARD_TOKENS = 64, 4_000_000
 _END = 0x8E5C3A9F17B2D461  # the end's hash; a document's first token follows an end
+_OTHER = 0x3D5B81C6E2F4A907  # the context of all other words, where a caller asks for a number of contexts
 _EXACT = 48  # counts up to this draw tables from their exact conditional
 
 
@@ -38,7 +37,7 @@ def held_out(col: str = "doc_id"):
 
 @dataclass
 class Totals:
-    """What tasks need of the training corpus: sizes, discount, and the frequent words in order of their hash."""
+    """What tasks need of the training corpus: sizes, discount, and the contexts kept apart if a caller names their number."""
 
     tokens: int
     words: int
@@ -46,6 +45,7 @@ class Totals:
     unknown: float  # the base measure's mass of the unknown symbol
     frequent: np.ndarray  # hashes, sorted
     shards: int
+    every: bool = True  # every preceding word is a context
 
     @property
     def base(self) -> float:
@@ -105,46 +105,31 @@ def _word_batches(batches, most: int = 3_000_000):
 
 
 def _contexts(w: np.ndarray, totals: Totals) -> np.ndarray:
-    """The context of each token: the place of the word before it among the frequent ones, or the last for others."""
+    """The context of each token: the word before it."""
     before = np.empty_like(w)
     before[1:] = w[:-1]
     before[:1] = np.uint64(_END)
-    at, ok = _find(totals.frequent, before)
-    return np.where(ok, at, totals.n_contexts - 1).astype(np.uint16)
+    return before if totals.every else np.where(_find(totals.frequent, before)[1], before, np.uint64(_OTHER))
 
 
-def _shard_of(w: np.ndarray, shards: int) -> np.ndarray:
-    """Ranges of hashes, so that words sorted by hash are sorted by shard."""
-    return ((w >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+def _keys(w: np.ndarray, u: np.ndarray) -> np.ndarray:
+    return mix(w + mix(u ^ np.uint64(_OTHER)))
 
 
-def _pairs(w: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order by word and context, starts of the runs of equal pairs)."""
-    order = np.lexsort((u, w))
-    a, b = w[order], u[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return order, np.flatnonzero(new)
+def _shard_of(key: np.ndarray, shards: int) -> np.ndarray:
+    """Ranges of hashes, so that keys in order are in order of shards."""
+    return ((key >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
 
 
 def _pair_batches(batches, totals: Totals):
-    """Counts of (word, context) of what is learnt, packed by shard: columns shard, w, u, n as bytes."""
+    """Rows (w, u, n): how often a word is learnt in a context; 0 where only held-out documents have it."""
     for batch, texts in blocks(batches, 4 << 20):
         learn = ~np.array(batch.column("held_out").to_pylist(), bool)
         w, doc, _ = _tokens(texts)
         u = _contexts(w, totals)
-        own = learn[doc]
-        w, u = w[own], u[own]
-        order, starts = _pairs(w, u)
-        pw, pu, n = w[order][starts], u[order][starts], np.diff(starts, append=len(order)).astype(np.uint32)
-        yield _packed(_shard_of(pw, totals.shards), {"w": pw, "u": pu, "n": n})
-
-
-def _packed(shard: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    ids, first = np.unique(shard, return_index=True)
-    stops = np.append(first[1:], len(shard))[: len(first)]
-    rows = {k: [v[a:b].tobytes() for a, b in zip(first.tolist(), stops.tolist(), strict=True)] for k, v in columns.items()}
-    return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), *(pa.array(v, pa.binary()) for v in rows.values())], ["shard", *rows])
+        key, first, at = np.unique(_keys(w, u), return_index=True, return_inverse=True)
+        n = np.bincount(at, learn[doc], len(key)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(w[first].view(np.int64)), pa.array(u[first].view(np.int64)), pa.array(n)], ["w", "u", "n"])
 
 
 def _stirling(d: float) -> list[np.ndarray]:
@@ -160,20 +145,22 @@ def _stirling(d: float) -> list[np.ndarray]:
 
 
 class Seating:
-    """Tables of one shard's pairs; draw() is one Gibbs sweep."""
+    """Draws tables of pairs; equal pairs, counts, weights and seeds give equal draws."""
 
     def __init__(self, w: np.ndarray, u: np.ndarray, c: np.ndarray, totals: Totals, seed: int):
-        self.u, self.c, self.totals = u.astype(np.int64), c, totals
-        self.words, self.of = np.unique(w, return_inverse=True)
+        self.c, self.totals = c, totals
+        self.keys = mix(_keys(w, u.astype(np.uint64)) + np.uint64(seed))
         self.rng = np.random.default_rng(seed)
         self.stirling = _stirling(totals.discount)
-        self.t = np.minimum(c, 1)
-        self.root = np.ones(len(self.words), np.int64)
 
-    def draw_tables(self, c: np.ndarray, a: np.ndarray) -> np.ndarray:
+    def draw(self, a: np.ndarray) -> np.ndarray:
+        return self.draw_tables(self.c, a, self.keys)
+
+    def draw_tables(self, c: np.ndarray, a: np.ndarray, keys: np.ndarray | None = None) -> np.ndarray:
         """Tables of c customers each, where a new table weighs a: P(t) in proportion to S(c, t) a**t."""
         d, out = self.totals.discount, np.minimum(c, 1)
         log_a = np.log(np.maximum(a, 1e-300))
+        x = self.rng.random(len(c)) if keys is None else (keys >> np.uint64(11)) * 2.0**-53
         few = np.minimum(c, _EXACT)
         by = np.argsort(few, kind="stable")
         stops = np.searchsorted(few[by], np.arange(2, _EXACT + 2))
@@ -183,50 +170,39 @@ class Seating:
                 part = rows[i : i + 100_000]
                 p = self.stirling[k][None, :] + log_a[part][:, None] * np.arange(1, k + 1)
                 p = np.cumsum(np.exp(p - p.max(1, keepdims=True)), 1)
-                out[part] = 1 + (self.rng.random(len(part))[:, None] * p[:, -1:] > p).sum(1)
+                out[part] = 1 + (x[part][:, None] * p[:, -1:] > p).sum(1)
         many, at = np.flatnonzero(c > _EXACT), _EXACT
+        rngs = None if keys is None else {i: np.random.default_rng(int(keys[i])) for i in many.tolist()}
         while len(many):  # later customers come in growing crowds that open tables at the rate the crowd begins and ends with
             to = np.minimum(c[many], int(at * 1.25))
             t, x = out[many], np.maximum(a[many], 1e-300)
             rate = x * np.log((x + to - d * t) / (x + at - d * t))
-            out[many] = np.minimum(t + self.rng.poisson(rate), c[many])
+            opened = self.rng.poisson(rate) if rngs is None else np.array([rngs[i].poisson(r) for i, r in zip(many.tolist(), rate.tolist(), strict=True)])
+            out[many] = np.minimum(t + opened, c[many])
             at = int(at * 1.25)
             many = many[c[many] > at]
         return out
 
-    def state(self) -> tuple:
-        """Tables by context, all tables, and all tables of the root, of all shards if they are like this one."""
-        n = self.totals.shards
-        return n * np.bincount(self.u, self.t, self.totals.n_contexts), n * float(self.t.sum()), n * float(self.root.sum())
-
-    def sweep(self, state: tuple) -> None:
-        g, d = self.totals, self.totals.discount
-        in_context, all_tables, all_root = state
-        at_root = np.bincount(self.of, self.t, len(self.words))
-        new_dish = (STRENGTH + d * all_root) * g.base
-        root = np.maximum(at_root - d * self.root + new_dish, 1e-300) / (STRENGTH + all_tables)
-        self.t = self.draw_tables(self.c, (STRENGTH + d * in_context[self.u]) * root[self.of])
-        at_root = np.bincount(self.of, self.t, len(self.words)).astype(np.int64)
-        self.root = self.draw_tables(at_root, np.full(len(self.words), new_dish))
-
-    def kept(self) -> tuple:
-        """(tables of each pair, customers of the root by word, tables of the root by word)."""
-        return self.t, np.bincount(self.of, self.t, len(self.words)), self.root
-
-    def samples(self, beside: Seating | None = None):
-        """kept() of each sweep kept; the seating ``beside`` is swept along, by this one's totals, and changes none of its draws."""
-        for k in range(SWEEPS):
-            state = self.state()
-            self.sweep(state)
-            if beside is not None:
-                beside.sweep(state)
-            if k >= BURN_IN:
-                yield self.kept()
-
-
-def _joined(rows: list[dict], names: tuple) -> dict[str, np.ndarray]:
-    kinds = {"w": np.uint64, "u": np.uint16, "n": np.uint32}
-    return {k: np.concatenate([np.frombuffer(r[k], kinds[k]) for r in rows]) for k in names}
+
+def _gathered(batches, rows: int = 200_000):
+    """Arrow batches put together to about so many rows."""
+    kept, size = [], 0
+    for b in batches:
+        kept.append(b)
+        size += len(b)
+        if size >= rows:
+            yield pa.Table.from_batches(kept)
+            kept, size = [], 0
+    if size:
+        yield pa.Table.from_batches(kept)
+
+
+def _drawn_batches(batches, totals: Totals, seed: int):
+    """Adds the tables drawn, column t, to rows with w, u, c and the weight a of a new table."""
+    for x in _gathered(batches):
+        w, u = (x[k].to_numpy().view(np.uint64) for k in ("w", "u"))
+        t = Seating(w, u, x["c"].to_numpy(), totals, seed).draw(x["a"].to_numpy())
+        yield from x.drop_columns(["a"]).append_column("t", pa.array(t)).to_batches(10_000)
 
 
 def _shards(batches):
@@ -243,165 +219,111 @@ def _shards(batches):
         yield key, rows
 
 
-def _seated(w, u, n, totals: Totals, shard: int) -> tuple[Seating, np.ndarray]:
-    """The seating of a shard's pairs, and where each given pair is in it. Equal input in any order gives equal draws."""
-    order, starts = _pairs(w, u)
-    at = np.empty(len(order), np.int64)
-    at[order] = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(order)))
-    c = np.bincount(at, n, len(starts)).astype(np.int64)
-    return Seating(w[order][starts], u[order][starts], c, totals, shard), at
-
-
-def _total_batches(batches, totals: Totals):
-    """Sums over a shard: rows (sample, what, i, j, value); what: tables by context, root totals, customers, frequent words' tables."""
-    out: list[tuple] = []
-    for shard, rows in _shards(batches):
-        x = _joined(rows, ("w", "u", "n"))
-        often = _find(totals.frequent, x["w"])[1]
-        rest, _ = _seated(x["w"][~often], x["u"][~often], x["n"][~often], totals, shard)
-        top, _ = _seated(x["w"][often], x["u"][often], x["n"][often], totals, shard + 2**40)
-        place = _find(totals.frequent, top.words)[0]
-        i, j = place[top.of].tolist() if len(place) else [], top.u.tolist()
-        by_context = np.bincount(rest.u, rest.c, totals.n_contexts) + np.bincount(top.u, top.c, totals.n_contexts)
-        out += [(0, "customers", m, 0, int(by_context[m])) for m in np.flatnonzero(by_context).tolist()]
-        out += [(0, "pair", a, b, v) for a, b, v in zip(i, j, top.c.tolist(), strict=True)]
-        for k, (t, at_root, root) in enumerate(rest.samples(top)):
-            top_t, top_at_root, top_root = top.kept()
-            tables = np.bincount(rest.u, t, totals.n_contexts) + np.bincount(top.u, top_t, totals.n_contexts)
-            out += [(k, "tables", m, 0, int(tables[m])) for m in np.flatnonzero(tables).tolist()]
-            out += [(k, "root", 0, 0, int(at_root.sum() + top_at_root.sum())), (k, "root", 1, 0, int(root.sum() + top_root.sum()))]
-            out += [(k, "pair_tables", a, b, v) for a, b, v in zip(i, j, top_t.tolist(), strict=True)]
-            out += [(k, "word_root", a, 0, v) for a, v in zip(place.tolist(), top_root.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["sample", "what", "i", "j", "value"])
-        out.clear()
-
-
 @dataclass
 class Norms:
-    """Exact totals of each sample, and the frequent words' probabilities in every context."""
+    """The corpus's totals and the tables of the sweeps kept."""
 
     totals: Totals
-    customers: np.ndarray  # by context
-    tables: np.ndarray  # sample, context
-    root_customers: np.ndarray  # by sample
-    root_tables: np.ndarray
-    counts: np.ndarray  # of the frequent words
-    probability: np.ndarray  # frequent word, context
-
-    def root(self, k: int, at_root, root, base):
-        d = self.totals.discount
-        return (at_root - d * root + (STRENGTH + d * self.root_tables[k]) * base) / (STRENGTH + self.root_customers[k])
-
-    def given(self, k: int, u, c, t, root):
-        d = self.totals.discount
-        return (c - d * t + (STRENGTH + d * self.tables[k][u]) * root) / (STRENGTH + self.customers[u])
-
-
-def _norms(totals: Totals, rows: list) -> Norms:
-    kept, m, f = SWEEPS - BURN_IN, totals.n_contexts, len(totals.frequent)
-    size = {"customers": (1, m, 1), "pair": (1, f, m), "tables": (kept, m, 1), "root": (kept, 2, 1), "pair_tables": (kept, f, m), "word_root": (kept, f, 1)}
-    a = {k: np.zeros(s) for k, s in size.items()}
-    for r in rows:
-        a[r.what][r.sample, r.i, r.j] = r.value
-    n = Norms(totals, a["customers"][0, :, 0], a["tables"][:, :, 0], a["root"][:, 0, 0], a["root"][:, 1, 0], a["pair"][0].sum(1), np.zeros((f, m)))
-    u = np.arange(m)
-    for k in range(kept):
-        root = n.root(k, a["pair_tables"][k].sum(1), a["word_root"][k, :, 0], totals.base)
-        n.probability += np.stack([n.given(k, u, a["pair"][0, i], a["pair_tables"][k, i], root[i]) for i in range(f)]) / kept if f else 0
-    return n
-
-
-def _block_batches(batches, norms: Norms):
-    """Of each block of documents: a row of its documents with the sums over frequent words, and the rest packed by shard.
-
-    Columns: block, shard (-1 for the first kind), doc_ids, held, tokens (arrays), sums, w, u, n, docs (bytes).
+    pairs: DataFrame  # w, u, c, ts
+    contexts: DataFrame  # u, customers, tables
+    words: DataFrame  # w, n, roots: the root's probability by sweep
+    unknown: list[float]  # the unknown symbol's, by sweep
+
+    def given(self, asked: DataFrame) -> DataFrame:
+        """Adds n and p to rows with w, u, c, ts."""
+        d, kept = self.totals.discount, SWEEPS - BURN_IN
+        x = asked.join(self.contexts, "u", "left").join(self.words, "w", "left")
+        zero = lambda col: F.coalesce(col, F.lit(0))
+        root = lambda k: F.coalesce(F.col("roots")[k], F.lit(self.unknown[k]))
+        terms = [zero(F.col("c")) - d * zero(F.col("ts")[k]) + (STRENGTH + d * zero(F.col("tables")[k])) * root(k) for k in range(kept)]
+        p = sum(terms[1:], terms[0]) / kept / (STRENGTH + zero(F.col("customers")))
+        return x.select("w", "u", zero(F.col("n")).alias("n"), p.alias("p"))
+
+    @property
+    def probability(self) -> np.ndarray:
+        """By frequent word and frequent context, the last that of all others."""
+        f = self.totals.frequent
+        both = lambda name, more: self.pairs.sparkSession.createDataFrame([(int(v),) for v in [*f.view(np.int64), *more]], f"{name} long")
+        asked = both("w", []).crossJoin(both("u", [_OTHER])).join(self.pairs, ["w", "u"], "left")
+        out = np.zeros((len(f), len(f) + 1))
+        for r in self.given(asked).collect():
+            at, ok = _find(f, np.array([r.u % 2**64], np.uint64))
+            out[_find(f, np.array([r.w % 2**64], np.uint64))[0][0], at[0] if ok[0] else -1] = r.p
+        return out
+
+
+def _packed_batches(batches, shards: int):
+    """Rows (w, u, n, p) packed by shard: the pair's key, n and p as bytes; block is -1."""
+    for x in _gathered(batches, 500_000):
+        key = _keys(x["w"].to_numpy().view(np.uint64), x["u"].to_numpy().view(np.uint64))
+        order = np.argsort(key)
+        key, n, p = key[order], x["n"].to_numpy()[order], x["p"].to_numpy()[order]
+        ids, first = np.unique(_shard_of(key, shards), return_index=True)
+        cuts = list(zip(first.tolist(), np.append(first[1:], len(key)).tolist(), strict=True))
+        cols = [pa.array([v[a:b].tobytes() for a, b in cuts], pa.binary()) for v in (key, n, p)]
+        yield pa.RecordBatch.from_arrays([pa.array([-1] * len(ids), pa.int64()), pa.array(ids.astype(np.int32)), *cols], ["block", "shard", "w", "n", "docs"])
+
+
+def _block_batches(batches, totals: Totals):
+    """Of each block of documents: a row of its documents, and its pairs packed by shard.
+
+    Columns: block, shard (-1 for the first kind), doc_ids, held, tokens (arrays), w (keys of pairs), n, docs (bytes), size.
     """
     from pyspark import TaskContext
 
-    g, serial = norms.totals, 0
-    task = TaskContext.get().partitionId()
+    serial, task = 0, TaskContext.get().partitionId()
     for batch, texts in blocks(batches, 4 << 20):
-        held = np.array(batch.column("held_out").to_pylist(), bool)
+        held = batch.column("held_out").to_pylist()
         w, doc, counts = _tokens(texts)
-        u = _contexts(w, g)
-        at, often = _find(g.frequent, w)
-        i = at[often]
-        sums = np.zeros((3, len(texts)))
-        sums[0] = np.bincount(doc[often], norms.counts[i] > 0, len(texts))
-        sums[1] = np.bincount(doc[often], np.log10((norms.counts[i] + 1) / (g.tokens + g.words + 1)), len(texts))
-        sums[2] = np.bincount(doc[often], np.log10(norms.probability[i, u[often]]), len(texts))
-        w, u, doc = w[~often], u[~often], doc[~often]
-        order, starts = _pairs(w, u)
-        pw, pu, docs = w[order][starts], u[order][starts], doc[order]
-        n = np.diff(starts, append=len(order)).astype(np.uint32)
-        ids, first = np.unique(_shard_of(pw, g.shards), return_index=True)
-        ids, first, stops = ids.tolist(), first.tolist(), np.append(first[1:], len(pw))[: len(first)].tolist()
-        cell = np.append(starts, len(order)).tolist()
-        block = (task << 32) + serial
+        key = _keys(w, _contexts(w, totals))
+        order = np.argsort(key, kind="stable")
+        key, docs = key[order], doc[order]
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        key, n = key[starts], np.diff(starts, append=len(key)).astype(np.uint32)
+        cell = np.append(starts, len(docs)).tolist()
+        ids, first = np.unique(_shard_of(key, totals.shards), return_index=True)
+        cuts = list(zip(first.tolist(), np.append(first[1:], len(key)).tolist(), strict=True))
+        block, rows = (task << 32) + serial, len(ids) + 1
         serial += 1
-        rows = len(ids) + 1
         pad = [None] * len(ids)
-        one = lambda x, kind: pa.array([x.tolist(), *pad], pa.list_(kind))
+        one = lambda x, kind: pa.array([x, *pad], pa.list_(kind))
         id_list = pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), batch.column("doc_id")), pa.nulls(len(ids), pa.list_(batch.column("doc_id").type))])
-        cut = lambda x: [None, *(x[a:b].tobytes() for a, b in zip(first, stops, strict=True))]
         columns = {
-            "block": pa.array([block] * rows), "shard": pa.array([-1, *ids], pa.int32()), "doc_ids": id_list, "held": one(held, pa.bool_()), "tokens": one(counts, pa.int64()),
-            "sums": pa.array([sums.tobytes(), *[np.packbits(held).tobytes()] * len(ids)], pa.binary()), "w": pa.array(cut(pw), pa.binary()), "u": pa.array(cut(pu), pa.binary()), "n": pa.array(cut(n), pa.binary()),
-            "docs": pa.array([None, *(docs[cell[a] : cell[b]].tobytes() for a, b in zip(first, stops, strict=True))], pa.binary()),
-            "size": pa.array([len(texts)] * rows, pa.int32()),
+            "block": pa.array([block] * rows), "shard": pa.array([-1, *ids.tolist()], pa.int32()), "doc_ids": id_list, "held": one(held, pa.bool_()), "tokens": one(counts.tolist(), pa.int64()),
+            "sums": pa.nulls(rows, pa.binary()), "w": pa.array([None, *(key[a:b].tobytes() for a, b in cuts)], pa.binary()), "n": pa.array([None, *(n[a:b].tobytes() for a, b in cuts)], pa.binary()),
+            "docs": pa.array([None, *(docs[cell[a] : cell[b]].tobytes() for a, b in cuts)], pa.binary()), "size": pa.array([len(texts)] * rows, pa.int32()),
         }
         yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-def _score_batches(batches, norms: Norms):
-    """Of each shard and block, the sums over the shard's words; rows of documents pass through."""
-    g, kept = norms.totals, SWEEPS - BURN_IN
+def _score_batches(batches, totals: Totals):
+    """Of each shard and block, the sums over the shard's pairs; rows of documents pass through. Probabilities (block -1) come first."""
     names = ("block", "shard", "doc_ids", "held", "tokens", "sums", "size")
+    got: dict = {}
 
     def whole(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in rows], t) for k, t in zip(names, kinds, strict=True)], names)
+        return pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in rows], got["schema"].field(k).type) for k in names], names)
 
-    kinds = None
-    for shard, rows in _shards(_watched(batches, got := {})):
-        kinds = kinds or [got["schema"].field(k).type for k in names]
+    for shard, rows in _shards(_watched(batches, got)):
         if shard < 0:
             for i in range(0, len(rows), 16):
                 yield whole(rows[i : i + 16])
             continue
-        rows.sort(key=lambda r: r["block"])
-        x = _joined(rows, ("w", "u", "n"))
-        docs = [np.frombuffer(r["docs"], np.uint16) for r in rows]
-        learn = np.concatenate([np.unpackbits(np.frombuffer(r["sums"], np.uint8), count=r["size"])[d] == 0 for r, d in zip(rows, docs, strict=True)])
-        stops = np.cumsum(x["n"])
-        learnt = np.concatenate(([0], np.cumsum(learn)))
-        n_learnt = learnt[stops] - learnt[stops - x["n"]]
-        trained = n_learnt > 0
-        order = np.flatnonzero(trained)
-        s, at = _seated(x["w"][order], x["u"][order], n_learnt[order], g, shard)
-        word, known = _find(s.words, x["w"])
-        u, n_pairs = x["u"].astype(np.int64), len(x["w"])
-        pair = _lookup(s, word, known, u)
-        seen = pair >= 0
-        c = _take(s.c, pair, seen)
-        c_word = _take(np.bincount(s.of, s.c, len(s.words)), word, known)
-        p = np.zeros(n_pairs)
-        for k, (t, at_root, root) in enumerate(s.samples()):
-            r = np.where(known, _take(norms.root(k, at_root, root, g.base), word, known), norms.root(k, 0, 0, g.unknown))
-            p += norms.given(k, u, c, _take(t, pair, seen), r) / kept
-        base, score = np.log10((c_word + 1) / (g.tokens + g.words + 1)), np.log10(p)
-        of = np.repeat(np.arange(n_pairs), x["n"])
-        first = 0
-        for r, d in zip(rows, docs, strict=True):
-            i = of[first : first + len(d)]
-            first += len(d)
-            r["sums"] = np.stack([np.bincount(d, v[i], r["size"]) for v in (known, base, score)]).tobytes()
-        for i in range(0, len(rows), 64):
-            yield whole(rows[i : i + 64])
-
-
-def _take(values: np.ndarray, at: np.ndarray, ok: np.ndarray) -> np.ndarray:
-    """values[at] where ok, else 0."""
-    return np.where(ok, values[at], 0) if len(values) else np.zeros(len(at))
+        given = [r for r in rows if r["block"] < 0]
+        key, n, p = (np.concatenate([np.frombuffer(r[k], t) for r in given]) for k, t in (("w", np.uint64), ("n", np.int64), ("docs", np.float64)))
+        order = np.argsort(key)
+        key, n, p = key[order], n[order], p[order]
+        values = (n > 0).astype(float), np.log10((n + 1) / (totals.tokens + totals.words + 1)), np.log10(p)
+        out = []
+        for r in rows:
+            if r["block"] < 0:
+                continue
+            at, ok = _find(key, np.frombuffer(r["w"], np.uint64))
+            assert ok.all(), "a pair without a probability"
+            at, docs = np.repeat(at, np.frombuffer(r["n"], np.uint32)), np.frombuffer(r["docs"], np.uint16)
+            out.append(r | {"sums": np.stack([np.bincount(docs, v[at], r["size"]) for v in values]).tobytes()})
+        for i in range(0, len(out), 64):
+            yield whole(out[i : i + 64])
 
 
 def _watched(batches, got: dict):
@@ -410,14 +332,6 @@ def _watched(batches, got: dict):
         yield b
 
 
-def _lookup(s: Seating, word: np.ndarray, known: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """The place of each (word, context) among the shard's pairs, or -1."""
-    m = s.totals.n_contexts
-    have = s.of * m + s.u
-    at, ok = _find(have, word * m + u)
-    return np.where(ok & known, at, -1) if len(have) else np.full(len(u), -1)
-
-
 def _merge_batches(batches):
     """Adds up the sums of each block, in the order of shards; a row for each document."""
     kind = {}
@@ -426,7 +340,8 @@ def _merge_batches(batches):
         head = next(r for r in rows if r["shard"] < 0)
         sums = np.zeros((3, head["size"]))
         for r in rows:
-            sums += np.frombuffer(r["sums"], np.float64).reshape(3, -1)
+            if r["sums"] is not None:
+                sums += np.frombuffer(r["sums"], np.float64).reshape(3, -1)
         cols = [pa.array(head["doc_ids"], kind["schema"].field("doc_ids").type.value_type), pa.array(head["held"], pa.bool_()), pa.array(head["tokens"], pa.int64()), pa.array(np.rint(sums[0]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
@@ -442,29 +357,55 @@ def _merge_batches(batches):
         yield done(rows)
 
 
-def learn(docs: DataFrame, contexts: int = CONTEXTS) -> Norms:
-    """Counts words, samples seatings and sums their totals; docs: doc_id, text, held_out."""
+def learn(docs: DataFrame, contexts: int | None = None) -> Norms:
+    """Counts words and pairs and samples seatings; docs: doc_id, text, held_out. ``contexts``: see scores()."""
     spark = prepare(docs.sparkSession)
     rows = docs.select("text", "held_out")
     counts = written(rows.mapInArrow(_word_batches, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
     tokens, words, once, twice = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    top = [r.w % 2**64 for r in counts.orderBy(F.desc("n"), "w").limit(contexts).collect()]
+    top = [r.w % 2**64 for r in counts.orderBy(F.desc("n"), "w").limit(contexts).collect()] if contexts is not None else []
     frequent = np.array(sorted({*top, _END}), np.uint64)
     discount = min(0.95, max(0.1, once / max(once + 2 * twice, 1)))
     unknown = min(0.98, max(0.5, once / max(discount**2 * words, 1)))
     shards = min(2**20, max(SHARDS, math.ceil(tokens / SHARD_TOKENS)))
-    g = Totals(int(tokens), int(words), discount, unknown, frequent, shards)
-    pairs = rows.mapInArrow(lambda it: _pair_batches(it, g), "shard int, w binary, u binary, n binary")
-    dealt = pairs.repartition(partitions(spark), "shard").sortWithinPartitions("shard")
-    sums = dealt.mapInArrow(lambda it: _total_batches(it, g), "sample long, what string, i long, j long, value long")
-    return _norms(g, sums.groupBy("sample", "what", "i", "j").agg(F.sum("value").alias("value")).collect())  # a bounded square by sample
-
-
-def scores(docs: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
+    g = Totals(int(tokens), int(words), discount, unknown, frequent, shards, contexts is None)
+    d, c = discount, F.col("c")
+    pairs = written(rows.mapInArrow(lambda it: _pair_batches(it, g), "w long, u long, n long").groupBy("w", "u").agg(F.sum("n").alias("c")))
+    ones, some = F.count_if(c == 1), F.count_if(c > 0)
+    none = F.array().cast("array<double>")
+    by_context = written(pairs.where("c > 0").groupBy("u").agg(F.sum("c").alias("customers"), ones.alias("ones"), some.cast("double").alias("t")).withColumn("tables", none))
+    by_word = written(pairs.where("c > 0").groupBy("w").agg(F.sum("c").alias("n"), ones.alias("ones"), some.alias("c"), F.lit(1).cast("long").alias("t")).withColumn("roots", none))
+    many = pairs.where("c > 1").withColumn("ts", F.array().cast("array<long>"))
+    tables, roots, missing = pairs.where("c > 0").count(), words, []
+    for k in range(SWEEPS):
+        new_dish = (STRENGTH + d * roots) * g.base
+        root = F.greatest(c - d * F.col("t") + new_dish, F.lit(1e-300)) / (STRENGTH + tables)
+        x = many.join(by_context.select("u", "t"), "u").withColumnRenamed("t", "tu").join(by_word.select("w", root.alias("r")), "w")
+        x = x.select("w", "u", "c", "ts", ((STRENGTH + d * F.col("tu")) * F.col("r")).alias("a"))
+        drawn = x.mapInArrow(lambda it, k=k: _drawn_batches(it, g, k), "w long, u long, c long, ts array<long>, t long")
+        many = written(drawn.select("w", "u", "c", F.concat("ts", F.array("t")).alias("ts") if k >= BURN_IN else "ts", "t"))
+        in_context = by_context.drop("t").join(many.groupBy("u").agg(F.sum("t").alias("more")), "u", "left")
+        t = (F.col("ones") + F.coalesce("more", F.lit(0))).cast("double")
+        by_context = written(in_context.select("u", "customers", "ones", t.alias("t"), F.concat("tables", F.array(t)).alias("tables") if k >= BURN_IN else "tables"))
+        at_root = by_word.drop("t", "c").join(many.groupBy("w").agg(F.sum("t").alias("more")), "w", "left")
+        at_root = at_root.select("w", F.lit(0).cast("long").alias("u"), "n", "ones", "roots", (F.col("ones") + F.coalesce("more", F.lit(0))).alias("c"), F.lit(new_dish).alias("a"))
+        by_word = written(at_root.mapInArrow(lambda it, k=k: _drawn_batches(it, g, SWEEPS + k), "w long, u long, n long, ones long, roots array<double>, c long, t long").drop("u"))
+        tables, roots = by_word.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+        if k >= BURN_IN:
+            new_dish = STRENGTH + d * roots
+            by_word = by_word.withColumn("roots", F.concat("roots", F.array((c - d * F.col("t") + new_dish * g.base) / (STRENGTH + tables))))
+            missing.append(new_dish * unknown / (STRENGTH + tables))
+        many = many.drop("t")
+    few = pairs.where("c < 2").withColumn("ts", F.array_repeat(c, SWEEPS - BURN_IN))
+    return Norms(g, few.unionByName(many), by_context.select("u", "customers", "tables"), by_word.select("w", "n", "roots"), missing)
+
+
+def scores(docs: DataFrame, contexts: int | None = None) -> DataFrame:
     """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the documents that aren't held out and scores all. score is log10 of the model's probability of the text: lower-case
-    words, then an end. Null, empty and blank texts are an end alone; repeated rows give repeated rows; null ids are
+    words, then an end. Every preceding word is a context of its own, unless ``contexts`` names how many of the most frequent
+    words are, and all others share one. Null, empty and blank texts are an end alone; repeated rows give repeated rows; null ids are
     kept and learnt from; other columns are ignored; no rows give no rows.
     Perplexity of a set of documents is 10 ** (-sum(score) / sum(n_tokens)).
     """
@@ -472,14 +413,15 @@ def scores(docs: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", "text", held_out().alias("held_out"))
     norms = learn(rows, contexts)
-    held = spark.sparkContext.broadcast(norms)  # bounded by the contexts
+    g = norms.totals
     shape = f"block long, shard int, doc_ids array<{kind}>, held array<boolean>, tokens array<long>, sums binary"
-    packed = rows.mapInArrow(lambda it: _block_batches(it, held.value), f"{shape}, w binary, u binary, n binary, docs binary, size int")
-    dealt = packed.repartition(partitions(spark), "shard", F.when(F.col("shard") < 0, F.col("block"))).sortWithinPartitions("shard")
-    scored = dealt.mapInArrow(lambda it: _score_batches(it, held.value), f"{shape}, size int")
+    given = norms.given(norms.pairs).mapInArrow(lambda it: _packed_batches(it, g.shards), "block long, shard int, w binary, n binary, docs binary")
+    packed = rows.mapInArrow(lambda it: _block_batches(it, g), f"{shape}, w binary, n binary, docs binary, size int").unionByName(given, allowMissingColumns=True)
+    dealt = packed.repartition(partitions(spark), "shard", F.when(F.col("shard") < 0, F.col("block"))).sortWithinPartitions("shard", "block")
+    scored = dealt.mapInArrow(lambda it: _score_batches(it, g), f"{shape}, size int")
     merged = scored.repartition(partitions(spark), "block").sortWithinPartitions("block", "shard")
     out = merged.mapInArrow(_merge_batches, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(norms.totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(g.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op6_language_model(spark, sf_dir: str) -> DataFrame:

@@ -100,3 +100,14 @@ def test_odd_rows(spark):
     assert lm.scores(empty_docs(spark)).count() == 0
     only_held = spark.createDataFrame([(i, "a b") for i in range(30) if is_held(i)], "doc_id long, text string")
     assert all(math.isfinite(r.score) and r.train_tokens == 0 for r in lm.scores(only_held).collect())
+
+
+def test_every_preceding_word_is_a_context(spark):
+    """Each of 600 words is always followed by its own one: more contexts than any fixed number of frequent words holds."""
+    ids = [i for i in range(4000) if not is_held(i)][:1200]
+    train = [(i, f"a{k % 600} b{k % 600}") for k, i in enumerate(ids)]
+    held = [i for i in range(4000, 20000) if is_held(i)][:600]
+    right = [(i, f"a{k} b{k}") for k, i in enumerate(held[:300])]
+    wrong = [(i, f"a{k} b{(k + 1) % 600}") for k, i in enumerate(held[300:])]
+    score = {r.doc_id: r.score for r in lm.scores(spark.createDataFrame(train + right + wrong, "doc_id long, text string")).collect()}
+    assert all(score[a] > score[b] + 1 for (a, _), (b, _) in zip(right, wrong))
