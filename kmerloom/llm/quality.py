@@ -177,23 +177,19 @@ def held_out(col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _feature_batches(batches, most_lines: int):
+def _feature_batches(batches):
     for batch in batches:
         texts = [b"" if t is None else t for t in batch.column("text").cast("binary").to_pylist()]
         x, length, counts = line_features(texts)
-        at, xs, lens = 0, [], []
-        for c in counts.tolist():
-            n = min(c, most_lines)
-            xs.append(x[at : at + n].tobytes())
-            lens.append(length[at : at + n].tobytes())
-            at += c
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(xs, pa.binary()), pa.array(lens, pa.binary())], ["doc_id", "label", "x", "length"])
+        stops = np.cumsum(counts).tolist()
+        cuts = list(zip([0, *stops], stops))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *(pa.array([v[a:b].tobytes() for a, b in cuts], pa.binary()) for v in (x, length))], ["doc_id", "label", "x", "length"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 3000, most_lines: int = 200) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 3000) -> Model:
     """Learns from at most ``most_docs`` labelled documents, chosen by a hash of doc_id among all that may be learnt.
 
-    Of each, at most ``most_lines`` lines enter the fit (scoring always takes all lines). A doc_id with several labels
+    Of each, all lines enter the fit, as in scoring. A doc_id with several labels
     has the more frequent one; a tie leaves it out. Without both labels the model gives every text the base rate.
     """
     prepare(docs.sparkSession)
@@ -201,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 3000, most_lines: i
     kind = dict(docs.dtypes)["doc_id"]
     chosen = usable.select("doc_id", (F.col("q") > 0.5).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    got = rows.mapInArrow(lambda it: _feature_batches(it, most_lines), f"doc_id {kind}, label int, x binary, length binary")
+    got = rows.mapInArrow(_feature_batches, f"doc_id {kind}, label int, x binary, length binary")
     got = sorted(got.collect(), key=lambda r: (r.doc_id, bytes(r.x)))
     x = [np.frombuffer(bytes(r.x), np.float32).reshape(-1, N_FEATURES) for r in got]
     counts = np.array([len(a) for a in x], np.int64)

@@ -59,3 +59,12 @@ def test_odd_rows(spark):
     assert quality.score(empty_docs(spark), model).count() == 0
     none = quality.fit(empty_docs(spark), labels.limit(0))
     assert {r.score for r in quality.score(docs, none).collect()} == {0.5}
+
+
+def test_all_lines_of_a_long_document_are_learnt(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(quality, "train", lambda x, length, counts, label: seen.update(counts=counts.tolist(), rows=(len(x), len(length))))
+    docs = spark.createDataFrame([(i, "\n".join(f"line {k}" for k in range(n))) for i, n in ((1, 450), (3, 2))], "doc_id long, text string")
+    ids = [r.doc_id for r in docs.where(~quality.held_out()).collect()]
+    quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int"))
+    assert 1 in ids and seen["counts"][0] == 450 and seen["rows"] == (sum(seen["counts"]),) * 2
