@@ -18,7 +18,6 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-_DIGIT = re.compile(r"[0-9]")
 
 #: Character classes of candidates, narrow before wide: name, characters, least entropy in bits of a window.
 CLASSES = (
@@ -26,11 +25,16 @@ CLASSES = (
     ("entropy_base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 3.6),
 )
 
+#: A word of at most 20 letters: in capitals, or of lower-case parts that each begin at most with a capital. One alone has 15 at most,
+#: or several parts, because a longer run of letters may be a key.
+_WORD = r"(?:[A-Z]{1,20}|[A-Z]?[a-z]{1,20}|[A-Z]?[a-z]{2,15}(?:[A-Z][a-z]{2,15}){1,7})"
+_ALONE = _WORD.replace("1,20", "1,15")
+
 #: Candidates that look random and are not secret: UUIDs, dates and numbers, words joined by dashes with a number.
 ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"[0-9/_=+-]+",
-    r"(?:[A-Za-z]+[-_/])*[A-Za-z]+[-_/]?[0-9]{0,4}",
+    rf"[-_/=+]*(?:(?:{_WORD}[-_/=+]+)+{_WORD}|{_ALONE})(?:[-_/=+]+|[-_/]?[0-9]{{0,4}})",
 )
 
 
@@ -50,7 +54,7 @@ def entropy_runs(s: str, chars: frozenset, width: int, least: float) -> Iterator
 
     Sliding by one changes two counts, so sum(c log c) is corrected, never summed again.
     """
-    clog = [0.0] + [c * math.log2(c) for c in range(1, width + 1)]
+    clog = [0.0] + [c * math.log2(c) for c in range(1, width + 2)]
     total, counts, run = 0.0, {}, 0
     start = end = -1
     for i, ch in enumerate(s):
@@ -83,7 +87,7 @@ def scan(text: str, width: int = 20, allowed: Iterable[str] = ALLOWED) -> tuple[
     rules, more = [re.compile(p) for p in allowed], []
     for m in _CANDIDATE.finditer(text):
         s = m.group()
-        if not _DIGIT.search(s) or any(r.fullmatch(s) for r in rules):
+        if any(r.fullmatch(s) for r in rules):
             continue
         found: list[tuple[int, int]] = []
         for kind, chars, least in CLASSES:

@@ -177,3 +177,11 @@ def test_token_counts(spark, sf_dir):
         assert (r.docs_over, r.tokens_kept) == (sum(x > limit for x in n), sum(min(x, limit) for x in n))
     assert token_counts.quantile(table, 0.5).first()[0] == sorted(n)[(len(n) + 1) // 2 - 1]
     assert token_counts.token_counts(empty_docs(spark)).count() == 0
+
+
+def test_random_letters_are_found_and_words_are_not():
+    keys = ("qzjxkvbwpfmhgtrycdnlsaeu", "QZJXKVBWPFMHGTRYCDNLSAEU", "aQzJxKvBwPfMhGtRyCdN", "qzjxkvbwpfmhgtryc2847")
+    assert all(secrets.scan(f"see {k} there")[1] for k in keys)
+    words = ("getElementWithIdentifierName", "quick-brown-fox-jumps-over-lazy-dogs-2024", "/usr/local/share/python/module", "MAXIMUM_NUMBER_OF_OPEN_FILES")
+    assert not any(secrets.scan(f"see {w} there")[1] for w in words)
+    assert secrets.scan("z" * 50 + "1")[1] == []
