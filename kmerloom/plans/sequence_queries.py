@@ -46,6 +46,12 @@ def kmer_count_rna(spark, sf_dir) -> DataFrame:
     return generate.count_packed(raw_texts(spark, sf_dir), 6, "single", RNA)
 
 
+@query(f"WITH {kmers_sql(63)} SELECT kmer, count(*) AS count FROM k GROUP BY kmer")
+def kmer_count_63(spark, sf_dir) -> DataFrame:
+    """All counts, those of 1 too."""
+    return generate.kmers(sequences(spark, sf_dir), 63).groupBy("kmer").agg(F.count("*").alias("count"))
+
+
 @query(f"WITH {kmers_sql(63)} SELECT kmer, count(*) AS count FROM k GROUP BY kmer HAVING count(*) > 1")
 def kmer_repeated_63(spark, sf_dir) -> DataFrame:
     rows = generate.kmers(sequences(spark, sf_dir), 63)
