@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate, generate, ranges
 from ..operators.index import Index, in_order, strand
-from .common import canonical_sql, kmers_sql, raw_texts, registered, table
+from .common import canonical_sql, kmers_sql, raw_texts, registered, table, sequences
 
 QUERIES: dict = {}
 query = registered(QUERIES)
@@ -225,6 +225,15 @@ def kmer_count_query(spark, sf_dir) -> DataFrame:
     return found.select("kmer", "count").unionByName(missing)
 
 
+@query(f"WITH {kmers_sql(12)}, b AS (SELECT upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]', 'A', 'g')) AS s FROM benchmark), q0 AS (SELECT DISTINCT substr(s, j, 12) AS kmer FROM (SELECT s, unnest(range(1, length(s) - 10)) AS j FROM b)) SELECT kmer, doc_id, pos FROM q0 JOIN k USING (kmer)")
+def kmer_position_index_query(spark, sf_dir) -> DataFrame:
+    """The benchmark's k-mers, asked of a multimap of all positions of the documents."""
+    stored = generate.kmers(sequences(spark, sf_dir), 12, keep=("doc_id",)).select("kmer", F.struct("doc_id", "pos").alias("at"))
+    i = Index.build(stored, ["kmer"], "at", "multimap")
+    q = table(spark, sf_dir, "benchmark").select(F.coalesce("text", F.lit("")).alias("seq"))
+    return i.find(generate.count_packed(q, 12).select("kmer")).select("kmer", "at.doc_id", "at.pos")
+
+
 @query(f"WITH {kmers_sql(8)}, o AS (SELECT kmer, doc_id, pos, {canonical_sql('kmer')} AS c FROM k) SELECT arg_min(kmer, (doc_id, pos)) AS kmer, min(doc_id) AS doc_id FROM o GROUP BY c")
 def kmer_bimolecule_map(spark, sf_dir) -> DataFrame:
     return generate.bimolecule_packed(raw_texts(spark, sf_dir), 8, "doc_id").select("kmer", "doc_id")
