@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship_package
@@ -53,6 +53,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def released(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more; the rest goes when the session ends."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if path.rpartition("/")[2].startswith("table-"):
+                _remove(df.sparkSession, path)
+
+
+#: Bytes up to which a side of a join is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def sized_broadcast(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """df, to be broadcast if the sum of ``row_bytes`` (an upper estimate of a row in memory) is at most BROADCAST_BYTES; else as it is, to be shuffled."""
+    size = df.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def packed_row(df: DataFrame, name: str = "_row") -> Column:
+    """All columns of df in one, so that no name of theirs clashes with those an operator adds."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
+def unpacked_row(rows: DataFrame, df: DataFrame, name: str = "_row") -> DataFrame:
+    """The columns of df again."""
+    return rows.select(*[F.col(f"{name}.`{c}`") for c in df.columns])
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 

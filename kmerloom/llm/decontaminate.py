@@ -1,20 +1,24 @@
-"""Benchmark decontamination with a positional index of training tokens, in DataFrame functions alone."""
+"""Benchmark decontamination by a stored positional inverted index of the training tokens, in DataFrame functions alone.
+
+The index is a written table of postings (document, term, position) of the terms that the benchmark uses; each task
+writes a segment of its own in the order of terms, so the list of a rare term is read from few row groups. Everything else
+reads lists: how often terms occur, the phrases, the terms that stand close together. Texts are split once.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, text_or_empty
+from .common import packed_row, prepare, sized_broadcast, text_or_empty, unpacked_row, written
 
 WINDOW = 13
-#: Benchmark terms up to which their table is broadcast; beyond it the join shuffles both sides.
-BROADCAST_ROWS = 100_000
-#: Words of one piece of a text.
-PIECE = 256
+#: A benchmark item's rarest terms that a document must hold close together, and how close to the rarest, for a proximity match.
+NEAR_TERMS, NEAR_WITHIN = 3, 30
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_KEY = ("doc_id", "text_hash", "text_bytes")
 
 
 def words(text: Column) -> Column:
@@ -23,170 +27,162 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lowered, _GAP), "")
 
 
-def _keyed(rows: DataFrame, name: str = "doc_id") -> DataFrame:
-    """An id with a hash and the length of the text: equal rows share a key, other texts of one id don't."""
-    t = text_or_empty()
-    return rows.select(name, F.xxhash64(t).alias("text_hash"), F.octet_length(t).alias("text_bytes"), t.alias("text"))
+def item_tokens(bench: DataFrame) -> DataFrame:
+    """(item, item_id, n_words, at, term): the words of the distinct (item_id, text); ``item`` numbers these. Written once."""
+    rows = bench.select("item_id", "text").distinct().select("item_id", words(text_or_empty()).alias("words"))
+    rows = written(rows.select(F.monotonically_increasing_id().alias("item"), "item_id", "words"))
+    return written(rows.select("item", "item_id", F.size("words").alias("n_words"), F.posexplode("words").alias("at", "term")))
 
 
-def tokens(rows: DataFrame, reach: int, name: str = "doc_id") -> DataFrame:
-    """The forward side of the index: a row for each token.
+@dataclass
+class PositionalIndex:
+    """terms: (term, term_id, n: its postings); postings: (row, term_id, pos); catalog: (row, doc_id, text_hash, text_bytes, n_words).
 
-    (key, n_words, pos from 0, term, near, at): near holds the words around it, at least ``reach`` to either side where
-    the text has them, and near[at] is the token. A text is cut into pieces of PIECE words with so much overlap, so no row
-    carries more than a piece however long the text is. The outer forms keep the planner from splitting texts twice.
+    ``row`` numbers the rows of the documents, so repeated rows and equal ids stay apart. text_hash and text_bytes are the text's xxhash64 and UTF-8 length.
     """
-    w = _keyed(rows, name).select(name, "text_hash", "text_bytes", words(F.col("text")).alias("words"))
-    w = w.select(name, "text_hash", "text_bytes", F.size("words").alias("n_words"), "words")
-
-    def piece(i: Column) -> Column:
-        base = i * PIECE
-        lead = F.least(base, F.lit(reach))
-        return F.struct(base.alias("base"), lead.alias("lead"), F.slice("words", base - lead + 1, lead + PIECE + reach).alias("near"))
-
-    cut = F.transform(F.sequence(F.lit(0), F.expr(f"greatest(n_words - 1, 0) div {PIECE}").cast("int")), piece)
-    w = w.select(name, "text_hash", "text_bytes", "n_words", F.explode_outer(cut).alias("p"))
-    w = w.select(name, "text_hash", "text_bytes", "n_words", "p.base", "p.lead", "p.near", F.posexplode_outer("p.near").alias("at", "term"))
-    return w.where((F.col("at") >= F.col("lead")) & (F.col("at") < F.col("lead") + PIECE)).select(name, "text_hash", "text_bytes", "n_words", (F.col("base") + F.col("at") - F.col("lead")).alias("pos"), "term", "near", "at")
-
-
-def _sized(small: DataFrame) -> DataFrame:
-    """small, to be broadcast if its counted rows allow it."""
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
-
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The index's lists of the given terms: (key, term, positions), one row for each term and document."""
-    hits = tokens(docs, 0).join(_sized(terms.select("term").distinct()), "term")
-    return hits.groupBy(*_KEY, "term").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
-
-
-def item_tokens(bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """tokens() of the distinct items, written once."""
-    return tokens(bench.select("item_id", "text").distinct(), window - 1, "item_id").checkpoint()
-
-
-def term_counts(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """How often each benchmark term occurs in the documents (0 for one that never does)."""
-    terms = items.select("term").distinct().checkpoint()
-    found = docs.select(F.explode_outer(words(text_or_empty())).alias("term")).join(_sized(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
-    return terms.join(found, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n")).checkpoint()
-
-
-def anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """For each window its rarest term (the anchor) and its second rarest with the distance between both.
-
-    Windows that share both share a row: (term, second, delta, item_id, need, before, after), with the item's
-    words before the anchor, nearest first, and after it, window - 1 at most.
+    terms: DataFrame
+    postings: DataFrame
+    catalog: DataFrame
+
+    @staticmethod
+    def build(docs: DataFrame, terms: DataFrame) -> PositionalIndex:
+        """Stores where the terms (column ``term``) occur in docs (doc_id, text).
+
+        Null and empty texts are in the catalog with no words; repeated rows have postings each; other columns
+        are ignored; no terms or no rows give an index without postings. Each text leads with an entry of term_id 0, whose pos is
+        its number of words: the catalog is the list of that entry. The terms are broadcast if their bytes allow it, else joined by shuffle.
+        """
+        spark = prepare(docs.sparkSession)
+        named = written(terms.where("term <> ''").select("term").distinct().select("term", (F.monotonically_increasing_id() + 1).alias("term_id")))
+        lead = spark.range(1).select(F.lit("").alias("term"), F.lit(0).cast("long").alias("term_id"))
+        lookup = sized_broadcast(named.unionByName(lead), F.octet_length("term") + 40)
+        t = text_or_empty()
+        rows = docs.select("doc_id", t.alias("text")).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), F.octet_length("text").alias("text_bytes"), F.concat(F.array(F.lit("")), words(F.col("text"))).alias("words"))
+        flat = rows.select("row", "doc_id", "text_hash", "text_bytes", F.size("words").alias("n"), F.posexplode_outer("words").alias("at", "term"))
+        first = lambda c: F.when(F.col("at") == 0, F.col(c))  # noqa: E731 - only the leading entry says whose row it is
+        stored = flat.join(lookup, "term").select("row", "term_id", (F.when(F.col("at") == 0, F.col("n")).otherwise(F.col("at")) - 1).alias("pos"), *[first(c).alias(c) for c in ("doc_id", "text_hash", "text_bytes")])
+        stored = written(stored.sortWithinPartitions("term_id"))
+        postings = stored.where("term_id > 0").select("row", "term_id", "pos")
+        n = postings.groupBy("term_id").agg(F.count("*").alias("n"))
+        counted = written(named.join(n, "term_id", "left").select("term", "term_id", F.coalesce("n", F.lit(0).cast("long")).alias("n")))
+        return PositionalIndex(counted, postings, stored.where("term_id = 0").select("row", "doc_id", "text_hash", "text_bytes", F.col("pos").alias("n_words")))
+
+    def lists(self, wanted: DataFrame) -> DataFrame:
+        """The postings of the terms of ``wanted`` (term_id, ...), with its other columns."""
+        return self.postings.join(sized_broadcast(wanted, F.lit(64)), "term_id")
+
+    def of_rows(self, rows: DataFrame) -> DataFrame:
+        """The postings of the rows of ``rows`` (row)."""
+        return self.postings.join(sized_broadcast(rows.select("row").distinct(), F.lit(40)), "row", "left_semi")
+
+
+def phrases(index: PositionalIndex, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(runs, their words): the stretches of items whose windows share their two rarest occurrences.
+
+    runs: (run, item_id, need, roles); need is a window's length, roles the one or two rarest occurrences as (term_id, at). words: (run, at, term_id).
     """
-    key = ("item_id", "text_hash", "text_bytes")
-    ranked = items.join(counts, "term")
+    known = items.join(sized_broadcast(index.terms, F.octet_length("term") + 40), "term")
     last = F.greatest(F.col("n_words") - window, F.lit(0))
-    starts = ranked.select(*key, "pos", "term", "n", F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - window + 1), F.least(last, F.col("pos")))).alias("start"))
-    order = Window.partitionBy(*key, "start").orderBy("n", "term", "pos")
-    best = starts.withColumn("r", F.row_number().over(order)).where("r <= 2").groupBy(*key, "start").agg(F.array_sort(F.collect_list(F.struct("r", "term", "pos"))).alias("b"))
-    one, two = F.col("b")[0], F.get("b", F.lit(1))
-    best = best.select(*key, one["pos"].alias("pos"), F.coalesce(two.term, one.term).alias("second"), F.coalesce(two["pos"] - one["pos"], F.lit(0)).alias("delta")).distinct()
-    side = window - 1
-    return best.join(items, [*key, "pos"]).select("term", "second", "delta", "item_id", F.least("n_words", F.lit(window)).alias("need"), _before(side).alias("before"), _after(side).alias("after")).distinct()
-
-
-def _before(side: int) -> Column:
-    n = F.least(F.col("at"), F.lit(side))
-    return F.reverse(F.slice("near", F.col("at") - n + 1, n))
-
-
-def _after(side: int) -> Column:
-    return F.slice("near", F.col("at") + 2, F.lit(side))
-
-
-def _common(a: Column, b: Column) -> Column:
-    """Length of the common start of two arrays."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    miss = F.array_position(same, False)
-    return F.when(miss == 0, F.size(same)).otherwise(miss - 1).cast("int")
-
-
-def phrase_matches(docs: DataFrame, items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """For each document with matches: (key, spans, items).
-
-    spans: sorted distinct (start, end) of runs of words in which each word is inside an occurring window; items: the
-    sorted ids, as strings, of the items with such windows.
-    The posting list of each window's rarest term is intersected, shifted by their distance, with that of the
-    second rarest; what is left is compared word by word around the anchor, window - 1 words to either side. Whole
-    windows of the item in that run hold the anchor, so the run counts if it is as long as a window. The
-    comparison stands in the aggregate, which keeps it out of the join's compiled code path.
+    starts = known.select("item", "item_id", "n_words", "at", "term", "term_id", "n", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - window + 1), F.least(last, F.col("at")))).alias("start"))
+    order = Window.partitionBy("item", "start").orderBy("n", "term", "at")
+    two = starts.withColumn("r", F.row_number().over(order)).where("r <= 2").groupBy("item", "item_id", "n_words", "start").agg(F.array_sort(F.collect_list(F.struct("r", "term_id", "at"))).alias("roles"))
+    two = two.withColumn("roles", F.transform("roles", lambda x: F.struct(x["term_id"].alias("term_id"), x["at"].alias("at"))))
+    runs = two.groupBy("item", "item_id", "n_words", "roles").agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
+    need = F.least("n_words", F.lit(window))
+    runs = written(runs.select(F.monotonically_increasing_id().alias("run"), "item", "item_id", need.alias("need"), "roles", "lo", (F.col("hi") + need - 1).alias("hi")))
+    own = runs.select("run", "item", F.explode(F.sequence("lo", "hi")).alias("at")).join(known.select("item", "at", "term_id"), ["item", "at"])
+    return runs.select("run", "item_id", "need", "roles"), written(own.select("run", "at", "term_id"))
+
+
+def phrase_matches(index: PositionalIndex, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """For each row with matches: (row, spans, items).
+
+    spans: sorted distinct (start, end) of runs of words in which each word is inside an occurring window; items: the sorted ids,
+    as strings, of the items with such windows. The list of each stretch's rarest term is intersected, both shifted by their place in
+    the item, with that of the second rarest; what is left, with the lists of all its terms. Whole windows of a stretch hold both
+    rarest occurrences, so matched words count where as many as a window has follow each other.
     """
-    a = _sized(anchors(items, counts, window).checkpoint())
-    hit = tokens(docs, window - 1).join(a, "term").where(F.get("near", F.col("at") + F.col("delta")) == F.col("second"))
-    side = window - 1
-    hit = hit.select(*_KEY, "item_id", "pos", "need", _before(side).alias("b1"), _after(side).alias("a1"), "before", "after")
-    run = hit.select(*_KEY, "item_id", "pos", "need", _common(F.col("b1"), F.col("before")).alias("l"), _common(F.col("a1"), F.col("after")).alias("r"))
-    whole = F.col("l") + 1 + F.col("r") >= F.col("need")
-    span = F.when(whole, F.struct((F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r") + 1).alias("end")))
-    found = run.groupBy(*_KEY).agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.collect_set(F.when(whole, F.col("item_id").cast("string")))).alias("items"))
-    return found.where(F.size("spans") > 0)
-
-
-def proximity_matches(docs: DataFrame, bench: DataFrame, terms: int = 3, within: int = 30) -> DataFrame:
-    """(doc_id, item_id): documents that hold an item's ``terms`` rarest terms no further than ``within`` words apart.
-
-    Distances are from the rarest. Items without words match nothing.
+    runs, run_words = phrases(index, items, window)
+    roles = runs.select("run", F.size("roles").alias("parts"), F.explode("roles").alias("x")).select("run", "parts", "x.term_id", "x.at")
+    met = index.lists(roles).groupBy("row", "run", "parts", (F.col("pos") - F.col("at")).alias("origin")).agg(F.count("*").alias("n"))
+    met = written(met.where("n = parts").select("row", "run", "origin"))
+    asked = met.join(sized_broadcast(run_words, F.lit(48)), "run").select("row", "run", "origin", "at", "term_id", (F.col("origin") + F.col("at")).alias("pos"))
+    seen = asked.join(index.of_rows(met), ["row", "term_id", "pos"]).groupBy("row", "run", "origin").agg(F.sort_array(F.collect_set("at")).alias("ats"))
+    seen = seen.join(sized_broadcast(runs.select("run", "item_id", "need"), F.lit(64)), "run")
+    edge = lambda step: F.filter("ats", lambda x: ~F.array_contains("ats", x + step))
+    spans = F.zip_with(edge(-1), edge(1), lambda a, b: F.struct((F.col("origin") + a).alias("start"), (F.col("origin") + b + 1).alias("end")))
+    found = seen.select("row", "item_id", F.explode(F.filter(spans, lambda s: s["end"] - s["start"] >= F.col("need"))).alias("span"))
+    return found.groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+
+
+def proximity_matches(index: PositionalIndex, items: DataFrame, terms: int = NEAR_TERMS, within: int = NEAR_WITHIN) -> DataFrame:
+    """(row, item_id): rows that hold an item's ``terms`` rarest distinct terms no further than ``within`` words from one place of the rarest.
+
+    Items without words match nothing; of an item with fewer terms all are asked for. Lists meet by row and by cells
+    of ``within`` positions, so a term that fills a long text costs no more than its places times those near them.
     """
-    prepare(docs.sparkSession)
-    items = item_tokens(bench)
-    flat = items.select("item_id", "term").distinct().join(term_counts(docs, items), "term")
-    order = Window.partitionBy("item_id").orderBy("n", "term")
-    rare = flat.withColumn("r", F.row_number().over(order)).where(F.col("r") <= terms).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("r", "term"))).alias("b"))
-    rare = rare.select("item_id", F.col("b")[0].term.alias("term"), F.transform("b", lambda s: s.term).alias("all_terms")).checkpoint()
-    hit = tokens(docs, within).join(_sized(rare), "term")
-    low = F.greatest(F.col("at") - within, F.lit(0))
-    around = F.slice("near", low + 1, F.col("at") - low + 1 + within)
-    return hit.where(F.size(F.array_except("all_terms", around)) == 0).select("doc_id", "item_id").distinct()
+    known = items.select("item", "item_id", "term").distinct().join(sized_broadcast(index.terms, F.octet_length("term") + 40), "term")
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("n", "term"))
+    rare = known.withColumn("r", rank).where(F.col("r") <= terms)
+    rare = written(rare.join(rare.groupBy("item").agg(F.count("*").alias("parts")), "item").select("item", "item_id", "parts", "r", "term_id"))
+    hits = index.lists(rare)
+    cell = lambda p: F.floor(p / within).cast("long")
+    first = hits.where("r = 1").select("row", "item", "item_id", "parts", "pos", cell(F.col("pos")).alias("cell"))
+    rest = hits.where("r > 1").select("row", "item", "r", F.col("pos").alias("other"), F.explode(F.sequence(cell(F.col("pos") - within), cell(F.col("pos") + within))).alias("cell"))
+    met = first.join(rest, ["row", "item", "cell"]).where(F.abs(F.col("other") - F.col("pos")) <= within)
+    met = met.groupBy("row", "item", "item_id", "parts", "pos").agg(F.count_distinct("r").alias("n")).where("n = parts - 1")
+    return met.select("row", "item_id").unionByName(first.where("parts = 1").select("row", "item_id")).distinct()
 
 
 def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """A row for each document: doc_id, n_words, n_hit, n_items, items (sorted ids as strings), contaminated.
+    """A row for each document: doc_id, n_words, n_hit, n_items, items (sorted ids as strings), n_near, contaminated, text_hash, text_bytes.
 
     n_hit counts words inside any occurrence of a window of ``window`` consecutive item words (a shorter item is one
-    window); contaminated: these are at least a twentieth of the words, and not none. Null and empty texts have no words;
-    repeated rows give repeated rows; null ids are kept; other columns are ignored; an empty benchmark hits nothing. Terms
-    are counted before they are gathered, lists are intersected where documents are read, and only matches are
-    shuffled, so a frequent word or a hot source moves nothing.
+    window); contaminated: these are at least a twentieth of the words, and not none; n_near counts items by proximity_matches(). Null
+    and empty texts have no words; repeated rows give repeated rows; null ids are kept; other columns are ignored; an empty benchmark
+    hits nothing; a null item_id is counted under no name. Lists are narrowed by rare terms before they are shuffled, so a frequent word or a hot source moves nothing.
     """
     prepare(docs.sparkSession)
-    items = item_tokens(bench, window)
-    counts = term_counts(docs, items)
-    found = phrase_matches(docs, items, counts, window)
+    items = item_tokens(bench)
+    index = PositionalIndex.build(docs, items.select("term"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("e")),
         lambda acc, s: F.struct((acc.n + F.greatest(F.lit(0), s.end - F.greatest(s.start, acc.e))).alias("n"), F.greatest(acc.e, s.end).alias("e")),
         lambda acc: acc.n,
     )
-    found = found.select(*[F.col(k).alias(f"_{k}") for k in _KEY], covered.cast("long").alias("hit"), "items")
-    rows = _keyed(docs).select(*_KEY, F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash")) & (F.col("text_bytes") == F.col("_text_bytes"))
-    out = rows.join(found, same, "left")
-    n_hit, names = F.coalesce("hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
-    out = out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), names.alias("items"), "text_hash", "text_bytes")
+    found = phrase_matches(index, items, window).select("row", covered.cast("long").alias("hit"), "items")
+    near = proximity_matches(index, items).groupBy("row").agg(F.count("item_id").alias("near"))
+    out = index.catalog.join(found, "row", "left").join(near, "row", "left")
+    none = F.lit(0).cast("long")
+    names = F.coalesce("items", F.array().cast("array<string>"))
+    out = out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("hit", none).alias("n_hit"), F.size(names).cast("long").alias("n_items"), names.alias("items"), F.coalesce("near", none).alias("n_near"), "text_hash", "text_bytes")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 
-def drop_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without the contaminated ones; their columns and all other rows stay as they are."""
-    bad = contamination(docs, bench, window).where("contaminated").select(*[F.col(k).alias(f"_{k}") for k in _KEY]).distinct()
+def drop_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, least_share: float = 0.0) -> DataFrame:
+    """docs without those in which a window of the benchmark occurs; their columns and all other rows stay as they are.
+
+    least_share: such words must make up this share of a document's words as well. The default drops a document for one window: a passage
+    of a benchmark in a long document is as much of a leak as in a short one. Null ids, repeated rows, empty tables and
+    columns of any name are taken as they come: rows are told by doc_id, hash and length of the text.
+    """
+    hit = contamination(docs, bench, window).where((F.col("n_hit") > 0) & (F.col("n_hit") >= least_share * F.col("n_words")))
+    bad = written(hit.select("doc_id", "text_hash", "text_bytes").distinct())
     t = text_or_empty()
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64(t) == F.col("_text_hash")) & (F.octet_length(t) == F.col("_text_bytes"))
-    return docs.join(bad, same, "left_anti")
+    rows = docs.select(packed_row(docs), F.struct(F.col("doc_id"), F.xxhash64(t).alias("h"), F.octet_length(t).alias("b")).alias("key"))
+    keys = sized_broadcast(bad.select(F.struct(F.col("doc_id"), F.col("text_hash").alias("h"), F.col("text_bytes").alias("b")).alias("bad")), F.lit(96))
+    return unpacked_row(rows.join(keys, F.col("key").eqNullSafe(F.col("bad")), "left_anti"), docs)
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """contamination() of the whole table documents by the whole table benchmark; item ids as a digest."""
     out = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated", "n_near")
 
 
-#: The same in DuckDB's SQL: every window of every document is looked up.
+#: The same in DuckDB's SQL: every window of every document is looked up, and every place of the rarest terms compared.
 OP7_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
@@ -196,8 +192,15 @@ sizes AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT k, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
 m AS (SELECT k, i, dw.n, item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.n = bw.n),
 h AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS p FROM m) GROUP BY k),
-it AS (SELECT k, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT k, item_id::VARCHAR AS s FROM m) GROUP BY k)
+it AS (SELECT k, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT k, item_id::VARCHAR AS s FROM m) GROUP BY k),
+bt AS (SELECT DISTINCT j, item_id, unnest(w) AS term FROM (SELECT row_number() OVER () AS j, item_id, w FROM (SELECT DISTINCT item_id, w FROM b))),
+tok AS (SELECT k, term, p FROM (SELECT k, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM d) WHERE term IN (SELECT term FROM bt)),
+rare AS (SELECT * FROM (SELECT j, item_id, term, row_number() OVER (PARTITION BY j ORDER BY coalesce(c, 0), term) AS r FROM bt LEFT JOIN (SELECT term, count(*) AS c FROM tok GROUP BY term) USING (term)) WHERE r <= 3),
+want AS (SELECT j, count(*) AS parts FROM rare GROUP BY j),
+place AS (SELECT k, j, item_id, r, p FROM tok JOIN rare USING (term)),
+met AS (SELECT a.k, a.j, a.item_id, a.p, count(DISTINCT b.r) AS n FROM place a JOIN place b ON a.k = b.k AND a.j = b.j AND abs(a.p - b.p) <= 30 WHERE a.r = 1 GROUP BY ALL),
+ne AS (SELECT k, count(DISTINCT item_id) AS n_near FROM met JOIN want USING (j) WHERE n = parts GROUP BY k)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN h USING (k) LEFT JOIN it USING (k)
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN h USING (k) LEFT JOIN it USING (k) LEFT JOIN ne USING (k)
 """

@@ -67,7 +67,7 @@ def test_matches_its_sql(spark, sf_dir):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)
 
 
-def test_odd_rows_postings_and_proximity(spark):
+def test_odd_rows_postings_and_drops(spark):
     bench = spark.createDataFrame([(1, "one two three four five six seven"), (2, "tail w976")], "item_id long, text string")
     docs = odd_docs(spark)
     rows = decontaminate.contamination(docs, bench).collect()
@@ -75,7 +75,65 @@ def test_odd_rows_postings_and_proximity(spark):
     kept = decontaminate.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and kept.count() == 12
     assert decontaminate.contamination(empty_docs(spark), bench).count() == 0
-    p = decontaminate.postings(docs, spark.createDataFrame([("b",), ("one",)], "term string")).collect()
-    assert sorted((r.doc_id, r.term, r.positions) for r in p) == [(1, "one", [0]), (7, "one", [0]), (9, "b", [1])]
-    near = {(r.doc_id, r.item_id) for r in decontaminate.proximity_matches(docs, bench, within=4).collect()}
-    assert (1, 1) in near and (7, 1) in near and not any(i == 3 for i, _ in near)
+    index = decontaminate.PositionalIndex.build(docs, spark.createDataFrame([("b",), ("one",), ("never",)], "term string"))
+    p = index.postings.join(index.terms, "term_id").join(index.catalog, "row").collect()
+    assert sorted((r.doc_id, r.term, r.pos) for r in p) == [(1, "one", 0), (7, "one", 0), (9, "b", 1), (9, "b", 1)]
+    assert {r.term: r.n for r in index.terms.collect()} == {"b": 2, "one": 2, "never": 0} and index.catalog.count() == 14
+
+
+def test_one_window_in_a_long_text_is_enough_to_drop_it(spark):
+    passage = " ".join(f"q{i}" for i in range(13))
+    docs = spark.createDataFrame([(1, "z " * 5000 + passage + " y" * 5000, 0), (2, "z " * 100 + passage.replace("q12", "q11"), 0), (None, passage, 0), (None, None, 0)], "_doc_id long, text string, bad int").withColumnRenamed("_doc_id", "doc_id")
+    docs = docs.withColumn("_doc_id", docs.bad).withColumn("key", docs.bad).withColumn("_row", docs.bad).withColumn("row", docs.bad)
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    kept = decontaminate.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, bool(r.text)) for r in kept.collect()) == [(0, False), (2, True)]
+    assert decontaminate.drop_contaminated(docs, bench, least_share=0.05).count() == 3
+
+
+def test_joins_by_shuffle_give_the_same(spark, monkeypatch):
+    from kmerloom.llm import common
+
+    docs = odd_docs(spark)
+    bench = spark.createDataFrame([(1, "one two three four five six seven"), (2, "tail w976")], "item_id long, text string")
+    near = lambda: sorted(map(str, decontaminate.contamination(docs, bench).collect()))
+    want = near()
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    assert near() == want
+
+
+def test_proximity_against_plain_python(spark):
+    rng = random.Random(9)
+    vocab = [f"v{i}" for i in range(40)]
+    bench = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(1, 6)))) for i in range(12)] + [(90, ""), (91, None)]
+    docs = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 120)))) for i in range(60)]
+    count = {}
+    for _, t in docs:
+        for w in words(t):
+            count[w] = count.get(w, 0) + 1
+    want = {}
+    for i, t in docs:
+        w = words(t)
+        for j, b in bench:
+            rare = sorted(set(words(b)), key=lambda x: (count.get(x, 0), x))[:3]
+            at = [p for p, x in enumerate(w) if rare and x == rare[0]]
+            if any(all(any(abs(p - q) <= 30 and x == r for q, x in enumerate(w)) for r in rare) for p in at):
+                want[i] = want.get(i, 0) + 1
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert {r.doc_id: r.n_near for r in got.collect() if r.n_near} == want
+
+
+def test_the_query_reads_the_stored_lists(spark, monkeypatch):
+    """With the postings taken away nothing is found: there is no other path to a match."""
+    build = decontaminate.PositionalIndex.build
+
+    def emptied(docs, terms):
+        index = build(docs, terms)
+        index.postings = index.postings.limit(0)
+        return index
+
+    docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    assert decontaminate.contamination(docs, bench).first().n_hit == 3
+    monkeypatch.setattr(decontaminate.PositionalIndex, "build", staticmethod(emptied))
+    assert decontaminate.contamination(docs, bench).first().n_hit == 0

@@ -24,7 +24,7 @@ def test_stages_against_plain_versions(spark):
     classes = plain_classes([(i, rows[i].text) for i in kept])
     kept = [i for i, c, _ in classes if i == c]
     bench = [(r.item_id, r.text) for r in corpus_pipeline.table(spark, AT, "benchmark").collect()]
-    kept = [r[0] for r in plain_contamination([(i, rows[i].text) for i in kept], bench) if not r[-1]]
+    kept = [r[0] for r in plain_contamination([(i, rows[i].text) for i in kept], bench) if not r[2]]
     want = {}
     for i in kept:
         text = secrets._redact(rows[i].text, secrets.joined(secrets.scan(rows[i].text)[1]), "[SECRET]")
