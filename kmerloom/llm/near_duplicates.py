@@ -10,14 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, partitions, prepare, text_or_empty, trim, words_of, written
+from .common import blocks, mix, packed_row, partitions, prepare, sized_broadcast, text_or_empty, trim, unpacked_row, words_of, written
 from .graph import components
 
 N_GRAM, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.9999, 7
 #: Members of a candidate group that one task compares with as many others.
 BLOCK = 256
-#: Candidates up to which their keys are broadcast to the documents; beyond it both sides are shuffled.
-BROADCAST_ROWS = 500_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -195,7 +193,7 @@ def near_classes(docs: DataFrame, sig: DataFrame, n: int = N_GRAM, similarity: f
     parts = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     members = groups.join(parts, "component").join(classes.select(F.col("cls").alias("node"), "rep"), "node").join(texts.withColumnRenamed("cls", "node"), "node")
     members = members.select(F.col("node").alias("cls"), "component", "parts", "n_texts", F.expr("cast(pmod(xxhash64(node), parts) as int)").alias("block"), F.col("rep.doc_id").alias("_id"), F.col("rep.text_hash").alias("_hash")).checkpoint()
-    keys = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
+    keys = sized_broadcast(members, F.lit(120))
     t = text_or_empty()
     own = docs.select("doc_id", t.alias("text"), F.xxhash64(t).alias("text_hash"))
     with_text = own.join(keys, own.doc_id.eqNullSafe(F.col("_id")) & (own.text_hash == F.col("_hash"))).drop("doc_id", "text_hash", "_id", "_hash").dropDuplicates(["cls"])
@@ -227,18 +225,24 @@ def near_duplicates(docs: DataFrame, n: int = N_GRAM, similarity: float = SIMILA
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each class, the one of the least doc_id; columns stay. Texts without words all stay."""
-    found = written(near_duplicates(docs, **options))
-    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("class_hash"))).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("_rows")).checkpoint()
-    h = F.xxhash64(text_or_empty())
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (h == F.col("_hash"))
-    again = firsts.where("_rows > 1")
-    kept = docs.join(firsts, same, "left_semi")
-    if again.isEmpty():
-        return kept
-    empty = F.trim(F.translate(text_or_empty(), "\t\n\x0b\f\r", "     ")) == ""
-    once = docs.join(again, same, "left_semi").where(~empty).withColumn("_h", h).dropDuplicates(["doc_id", "_h"]).drop("_h")
-    return kept.join(again, same, "left_anti").unionByName(once).unionByName(docs.join(again, same, "left_semi").where(empty))
+    """docs with one row of each class, the one of the least doc_id; columns stay, whatever their names. Texts without words all stay.
+
+    Null ids come first; of repeated rows one stays; no rows give no rows.
+    """
+    found = near_duplicates(docs, **options)
+    first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("class_hash"))
+    firsts = written(found.where(first).groupBy(F.struct("doc_id", "text_hash").alias("first")).agg(F.count("*").alias("rows")))
+    t = text_or_empty()
+    blank = F.trim(F.translate(t, "\t\n\x0b\f\r", "     ")) == ""
+    rows = docs.select(packed_row(docs), F.struct(F.col("doc_id"), F.xxhash64(t).alias("text_hash")).alias("key"), blank.alias("blank"))
+    same = F.col("key").eqNullSafe(F.col("first"))
+    kept = rows.join(sized_broadcast(firsts.select("first"), F.lit(80)), same, "left_semi")
+    again = firsts.where(F.col("rows") > 1).select("first")
+    if not again.isEmpty():
+        again = sized_broadcast(again, F.lit(80))
+        many = kept.join(again, same, "left_semi")
+        kept = kept.join(again, same, "left_anti").unionByName(many.where("blank")).unionByName(many.where("not blank").dropDuplicates(["key"]))
+    return unpacked_row(kept, docs)
 
 
 def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:
