@@ -81,6 +81,14 @@ def unpacked_row(rows: DataFrame, df: DataFrame, name: str = "_row") -> DataFram
     return rows.select(*[F.col(f"{name}.`{c}`") for c in df.columns])
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put after it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, prepare, words_of
+from .common import blocks, fresh_name, mix, prepare, text_or_empty, words_of
 
 #: Byte classes whose shares describe a line; 0 is anything else (lower-case letters, letters beyond ASCII).
 _UPPER, _DIGIT, _BLANK, _BANG, _PIPE, _STOP, _ODD = range(1, 8)
@@ -189,14 +189,18 @@ def _feature_batches(batches):
 def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 3000) -> Model:
     """Learns from at most ``most_docs`` labelled documents, chosen by a hash of doc_id among all that may be learnt.
 
-    Of each, all lines enter the fit, as in scoring. A doc_id with several labels
-    has the more frequent one; a tie leaves it out. Without both labels the model gives every text the base rate.
+    Of each, all lines enter the fit, as in scoring. A doc_id with several labels has the more frequent one; a tie
+    leaves it out. Rows of one doc_id with different texts are documents of their own, repeated rows are one; the driver
+    gets ``most_docs`` rows at most. Without both labels the model gives every text the base rate.
     """
     prepare(docs.sparkSession)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.avg("quality").alias("q")).where("q <> 0.5")
     kind = dict(docs.dtypes)["doc_id"]
     chosen = usable.select("doc_id", (F.col("q") > 0.5).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    h = F.xxhash64(text_or_empty())
+    rows = docs.select("doc_id", "text", h.alias("h")).join(F.broadcast(chosen), "doc_id")
+    keys = rows.select("doc_id", "h").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(most_docs)
+    rows = rows.join(F.broadcast(keys), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("doc_id", "label", "text")
     got = rows.mapInArrow(_feature_batches, f"doc_id {kind}, label int, x binary, length binary")
     got = sorted(got.collect(), key=lambda r: (r.doc_id, bytes(r.x)))
     x = [np.frombuffer(bytes(r.x), np.float32).reshape(-1, N_FEATURES) for r in got]
@@ -223,6 +227,12 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     return plain.mapInArrow(lambda it: _score_batches(it, model, name), f"{schema}, `{name}` double")
 
 
+def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """docs whose score is at least ``least``; their columns stay as they are, whatever their names. Nulls, repeated rows: as in score()."""
+    name = fresh_name(docs, "quality_score")
+    return score(docs, model, name).where(F.col(name) >= least).drop(name)
+
+
 def op2_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
