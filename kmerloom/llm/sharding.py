@@ -27,20 +27,22 @@ def place(weights: np.ndarray, shards: int, vnodes: int = 128, slack: float = 0.
 
     Arcs arrive by falling weight, so that light ones fill the gaps. Each goes to the first virtual
     node clockwise whose shard still has room; a shard has room up to (1 + slack) times the mean.
-    An arc that fits nowhere (it is heavier than any gap) goes to the lightest shard.
+    Where an arc fits nowhere, all shards get more room, by ``slack`` of the mean each time, until it does; so it, too, goes on clockwise.
     """
     at, owner = ring(shards, vnodes)
     n = len(weights)
     first = np.searchsorted(at, (np.arange(n, dtype=np.uint64) * np.uint64(2**64 // n)) + np.uint64(2**63 // n)) % len(owner)
-    room = np.full(shards, int(np.ceil(float(weights.sum()) * (1 + slack) / shards)), np.int64)
+    mean = float(weights.sum()) / shards
+    room, more = np.full(shards, int(np.ceil(mean * (1 + slack))), np.int64), max(1, int(mean * slack))
     owners, out = owner.tolist(), np.full(n, -1, np.int64)
     for arc in np.lexsort((np.arange(n), -weights)):
         w, i = int(weights[arc]), int(first[arc])
-        tried: set[int] = set()
-        while len(tried) < shards and room[owners[i]] < w:
-            tried.add(owners[i])
+        short = w - int(room.max())
+        if short > 0:
+            room += -(-short // more) * more
+        while room[owners[i]] < w:
             i = (i + 1) % len(owners)
-        out[arc] = owners[i] if room[owners[i]] >= w else int(room.argmax())
+        out[arc] = owners[i]
         room[out[arc]] -= w
     return out
 
@@ -51,17 +53,19 @@ def shard(docs: DataFrame, shards: int = 16, vnodes: int = 128, slack: float = 0
     Columns: doc_id, size (UTF-8 bytes plus 1), text_crc32, shard, slot (0, 1, ... in each shard).
     A null text has no bytes; a null doc_id is a key like any other; other columns are ignored;
     no rows give no rows. Repeated rows (same doc_id, size and checksum) are counted before
-    they are dealt and split into runs of at most ``copies``, each with a place of its own on the
-    ring, so a row repeated without end still spreads over all shards. Texts are never shuffled.
+    they are dealt and split into runs of at most ``copies`` and 64 KB (or one row), each with a place of its own on the
+    ring, so a row repeated without end still spreads over all shards. A key is doc_id, size and checksum: ids
+    that repeat with other texts, null ones too, have places of their own. Texts are never shuffled.
     """
     spark = prepare(docs.sparkSession)
     text = text_or_empty()
     runs = (
         docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
         .groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
-        .withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {copies}"))))
-        .withColumn("n", F.least(F.lit(copies).cast("long"), F.col("n") - F.col("run") * copies))
-        .withColumn("at", F.xxhash64("doc_id", "run"))
+        .withColumn("each", F.expr(f"greatest(1L, least({copies}L, 65536 div size))"))
+        .withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(n - 1) div each"))))
+        .withColumn("n", F.least(F.col("each"), F.col("n") - F.col("run") * F.col("each"))).drop("each")
+        .withColumn("at", F.xxhash64("doc_id", "size", "text_crc32", "run"))
         .withColumn("arc", F.shiftrightunsigned("at", 64 - ARCS.bit_length() + 1).cast("int"))
         .checkpoint()
     )
