@@ -1,8 +1,16 @@
-"""BPE encoding and decoding with content-defined chunks that documents share."""
+"""BPE encoding and decoding with content-defined chunks that documents share.
+
+Texts are cut by a rolling hash alone, wherever it says, inside words too. Chunks are looked up first; each new one is encoded once,
+without the words that its ends may have cut. Then the joins are repaired: the word that runs across a join is
+encoded again together with the whole words before and after it, and the codes on both sides must come out as the chunks have
+them. Where they don't, the two chunks become one and are encoded again, until all joins agree.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +19,7 @@ from pyspark.sql import DataFrame
 from .common import blocks, prepare
 
 #: ASCII white space never lies inside a token of this kind of vocabulary (white space is dropped).
-_SPACE_BYTES = b" \t\n\v\f\r"
+_SPACES = re.compile(rb"[ \t\n\v\f\r]")
 _WINDOW = 16
 #: A control character that is a word and a token of its own; words that hold it are encoded one by one.
 _MARK = "\x1d"
@@ -42,17 +50,15 @@ def rolling_hash(data: np.ndarray, window: int = _WINDOW) -> np.ndarray:
 def cuts(text: bytes, bits: int = 9, longest: int = 1 << 16) -> list[int]:
     """Ends of the content-defined chunks of a text.
 
-    A cut is where the rolling hash has ``bits`` zero bits at its top, moved on to the next white
-    space; so equal passages in different documents have equal chunks from their first cut on. A stretch of over
-    ``longest`` bytes without any is cut at a character boundary; repair() mends such joins.
+    A cut is where the rolling hash has ``bits`` zero bits at its top, or at the next character boundary; so equal passages in
+    different documents have equal chunks from their first cut on. Stretches of over ``longest`` bytes without any are cut as well.
     """
     if len(text) < 1 << bits:
         return [len(text)] if text else []
     data = np.frombuffer(text, np.uint8)
-    hits = np.flatnonzero(rolling_hash(data) >> np.uint32(32 - bits) == 0)
-    gaps = np.flatnonzero((data == 0x20) | ((data >= 9) & (data <= 13)))
-    at = gaps[np.minimum(np.searchsorted(gaps, hits), len(gaps) - 1)] + 1 if len(gaps) and len(hits) else np.zeros(0, np.int64)
-    ends = np.unique(np.append(at, len(text)))
+    hits = np.flatnonzero(rolling_hash(data) >> np.uint32(32 - bits) == 0) + 1
+    starts = np.append(np.flatnonzero(data & 0xC0 != 0x80), len(text))
+    ends = np.unique(np.append(starts[np.searchsorted(starts, hits)], len(text)))
     if np.diff(ends, prepend=0).max() <= longest:
         return ends.tolist()
     out, last = [], 0
@@ -67,8 +73,27 @@ def cuts(text: bytes, bits: int = 9, longest: int = 1 << 16) -> list[int]:
     return out
 
 
+def chunked(text: bytes, bits: int = 9, longest: int = 1 << 16) -> list[bytes]:
+    ends = cuts(text, bits, longest)
+    return [text[a:b] for a, b in zip([0, *ends], ends)]
+
+
+class Chunk(NamedTuple):
+    """A coded chunk: what stands before its first and after its last white space, and the codes of the words between.
+
+    first and last: the first and last of these words with their ids, None if there are none. A chunk without white space is all head, and tail is None.
+    """
+
+    head: bytes
+    tail: bytes | None
+    ids: bytes
+    text: bytes
+    first: tuple[bytes, list[int]] | None
+    last: tuple[bytes, list[int]] | None
+
+
 class ChunkCoder:
-    """Encodes texts chunk by chunk; chunks and words seen before are looked up.
+    """Encodes blocks of texts chunk by chunk; chunks, joins and words seen before are looked up.
 
     For each text: its ids as decimals joined by spaces, and its decoded text, both bytes. The
     tables are renewed when they pass ``most`` bytes, so memory is bounded and results are the same.
@@ -85,10 +110,12 @@ class ChunkCoder:
         self.mark = mark[0] if len(mark) == 1 else None
         self.word_ids: dict[bytes, bytes] = {}
         self.word_text: dict[bytes, bytes] = {}
-        self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
-        self.word_size = self.chunk_size = 0
         self.old_ids: dict[bytes, bytes] = {}
         self.old_text: dict[bytes, bytes] = {}
+        self.chunks: dict[bytes, Chunk] = {}
+        self.joins: dict[tuple, tuple[bytes, bytes] | None] = {}
+        self.word_size = self.chunk_size = self.join_size = 0
+        self.encoded_chunks = self.encoded_joins = 0
         self._tables()
 
     def _tables(self) -> None:
@@ -133,52 +160,105 @@ class ChunkCoder:
             self.word_text[w] = b" ".join([decoded[i] for i in ids])
             self.word_size += 2 * len(w) + len(code) + 240
 
-    def code_part(self, part: bytes) -> tuple[bytes, bytes]:
-        words = part.split()
-        try:
-            ids = list(map(self.word_ids.__getitem__, words))
-        except KeyError:
-            self.learn(words)
-            ids = list(map(self.word_ids.__getitem__, words))
-        return b" ".join(filter(None, ids)), b" ".join(filter(None, map(self.word_text.__getitem__, words)))
-
-    def code(self, text: bytes) -> tuple[bytes, bytes]:
-        ends = cuts(text, self.bits)
-        parts, last = [], 0
-        for e in ends:
-            parts.append(text[last:e])
-            last = e
-        out = []
-        for part in repair(parts):
-            got = self.chunks.get(part)
-            if got is None:
-                got = self.code_part(part)
-                if len(part) > 64:
-                    if self.chunk_size > self.most // 3:
-                        self.chunks.clear()
-                        self.chunk_size = 0
-                    self.chunks[part] = got
-                    self.chunk_size += len(part) + len(got[0]) + len(got[1]) + 200
-            out.append(got)
-        return b" ".join(filter(None, (a for a, _ in out))), b" ".join(filter(None, (b for _, b in out)))
-
-
-def repair(parts: list[bytes]) -> list[bytes]:
-    """Parts whose separate codes agree with the code of the whole.
-
-    Both sides of a join agree if white space lies there, for no token spans any. Where a join
-    has none, the right part's piece up to its first white space is moved to the left part and coded with
-    it again, on and on until white space ends the left part or the right one is used up.
-    """
+    def _encode_chunks(self, parts: list[bytes]) -> dict[bytes, Chunk]:
+        """The codes of chunks; the new ones are encoded together."""
+        out = {p: self.chunks.get(p) for p in parts}
+        new = [p for p, c in out.items() if c is None]
+        self.encoded_chunks += len(new)
+        cut = []
+        for p in new:
+            a = _SPACES.search(p)
+            if a is None:
+                cut.append(None)
+                continue
+            words = p[a.start() :].split()
+            tail = words.pop() if words and not p[-1:].isspace() else b""
+            cut.append((p[: a.start()], tail, words))
+        self.learn([w for c in cut if c for w in c[2]])
+        if self.chunk_size > self.most // 3:
+            self.chunks, self.chunk_size = {}, 0
+        for p, c in zip(new, cut, strict=True):
+            if c is None:
+                out[p] = Chunk(p, None, b"", b"", None, None)
+                continue
+            head, tail, words = c
+            ids = b" ".join(filter(None, map(self.word_ids.__getitem__, words)))
+            ends = [(w, [int(i) for i in self.word_ids[w].split()]) for w in (words[0], words[-1])] if words else (None, None)
+            out[p] = chunk = Chunk(head, tail, ids, b" ".join(filter(None, map(self.word_text.__getitem__, words))), *ends)
+            if len(p) > 64:
+                self.chunks[p] = chunk
+                self.chunk_size += len(p) + len(ids) + len(chunk.text) + 800
+        return out
+
+    def _encode_joins(self, joins: list[tuple]) -> dict[tuple, tuple[bytes, bytes] | None]:
+        """The codes of the words across joins, given as (last, word, first); None where the neighbours' codes come out otherwise."""
+        key = lambda j: (j[0] and j[0][0], j[1], j[2] and j[2][0])
+        asked = {key(j): j for j in joins}
+        out = {k: self.joins[k] for k in asked if k in self.joins}
+        new = [k for k in asked if k not in out]
+        self.encoded_joins += len(new)
+        if self.join_size > self.most // 3:
+            self.joins, self.join_size = {}, 0
+        for k, ids in zip(new, self._ids([b" ".join(w for w in k if w) for k in new]), strict=True):
+            before, after = asked[k][0][1] if k[0] else [], asked[k][2][1] if k[2] else []
+            a, b = len(before), len(ids) - len(after)
+            agree = a <= b and ids[:a] == before and ids[b:] == after
+            out[k] = self.joins[k] = (b" ".join([self.decimal[i] for i in ids[a:b]]), b" ".join([self.decoded[i] for i in ids[a:b]])) if agree else None
+            self.join_size += 3 * sum(len(w) for w in k if w) + 300
+        return out
+
+    @staticmethod
+    def _joins(parts: list[bytes], chunks: dict[bytes, Chunk]):
+        """(place among the parts of the chunk that ends the word, last, word, first) of every join; the text's ends are joins too."""
+        pending, last = b"", None
+        for i, p in enumerate(parts):
+            c = chunks[p]
+            pending += c.head
+            if c.tail is not None:
+                yield i, last, pending, c.first
+                pending, last = c.tail, c.last
+        yield len(parts), last, pending, None
+
+    def code(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
+        todo, out = {i: chunked(t, self.bits) for i, t in enumerate(texts)}, [(b"", b"")] * len(texts)
+        while todo:
+            chunks = self._encode_chunks([p for parts in todo.values() for p in parts])
+            joins = {i: list(self._joins(parts, chunks)) for i, parts in todo.items()}
+            key = lambda last, word, first: (last and last[0], word, first and first[0])
+            codes = self._encode_joins([j[1:] for js in joins.values() for j in js if j[2]])
+            left = {}
+            for i, parts in todo.items():
+                ids, text, bad = [], [], set()
+                for at, last, word, first in joins[i]:
+                    if word:
+                        got = codes[key(last, word, first)]
+                        if got is None:
+                            bad.add(at)
+                            continue
+                        ids.append(got[0])
+                        text.append(got[1])
+                    if at < len(parts):
+                        ids.append(chunks[parts[at]].ids)
+                        text.append(chunks[parts[at]].text)
+                if bad:
+                    left[i] = glued(parts, bad)
+                else:
+                    out[i] = b" ".join(filter(None, ids)), b" ".join(filter(None, text))
+            todo = left
+        return out
+
+
+def glued(parts: list[bytes], bad: set[int]) -> list[bytes]:
+    """Parts with each of those in ``bad`` put to the one before it; one alone gets a space, so that its first word is whole."""
     out: list[bytes] = []
-    for part in parts:
-        if out and out[-1][-1:] not in _SPACE_BYTES and part[:1] not in _SPACE_BYTES:
-            at = next((i + 1 for i, b in enumerate(part) if b in _SPACE_BYTES), len(part))
-            out[-1] += part[:at]
-            part = part[at:]
-        if part:
-            out.append(part)
-    return out
+    for i, p in enumerate(parts):
+        if i in bad and out:
+            out[-1] += p
+        else:
+            out.append(p)
+    if len(parts) in bad and len(out) > 1:
+        out[-2:] = [out[-2] + out[-1]]
+    return out if len(out) < len(parts) else [b" " + b"".join(parts) + b" "]
 
 
 _coders: dict[tuple, ChunkCoder] = {}
@@ -191,23 +271,14 @@ def coder(path: str) -> ChunkCoder:
     return _coders[path]
 
 
-def _learn_block(c: ChunkCoder, texts: list[bytes]) -> None:
-    new: set[bytes] = set()
-    for t in texts:
-        new.update(t.split())
-    c.learn(list(new))
-
-
 def _code_batches(batches, path: str, give: str):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     c = coder(path)
     for batch, texts in blocks(batches, 4 << 20):
-        _learn_block(c, texts)
         n, ids_col, text_col = [], [], []
-        for t in texts:
-            ids, text = c.code(t)
+        for ids, text in c.code(texts):
             n.append(ids.count(b" ") + 1 if ids else 0)
             if give == "digest":
                 ids_col.append(hashlib.sha256(ids).hexdigest())
