@@ -34,10 +34,11 @@ def test_stages_against_plain_versions(spark):
 
 
 def test_stages_keep_columns_and_take_odd_rows(spark):
-    for docs in (odd_docs(spark).withColumn("score", F.lit("mine")), empty_docs(spark).withColumn("score", F.lit("mine"))):
+    mine = {c: F.lit("mine") for c in ("score", "quality_score", "_quality", "_id", "_hash", "_rows", "_h", "_doc_id", "_row", "key", "first", "again", "blank", "bad", "label", "h")}
+    for docs in (odd_docs(spark).withColumns(mine), empty_docs(spark).withColumns(mine)):
         columns = docs.columns
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             n, docs = docs.count(), (stage(spark, docs, AT) if k < 4 else docs)
-            assert docs.columns == columns and docs.count() <= n and docs.where("score <> 'mine'").isEmpty()
+            assert docs.columns == columns and docs.count() <= n and docs.where(" or ".join(f"{c} <> 'mine' or {c} is null" for c in mine)).isEmpty()
         assert bpe.encode(docs).count() == docs.count()
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality" and corpus_pipeline.ORACLE_SQL is None
