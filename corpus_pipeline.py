@@ -16,7 +16,7 @@ from kmerloom.llm.common import prepare, table, written
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose quality score is at least 0.5."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, "_quality").where("_quality >= 0.5").select(*docs.columns)
+    return quality.keep_good(docs, model)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
