@@ -2,32 +2,40 @@
 
 Two levels of restaurants: one for each preceding word (or the document's start), however rare, and the root that they share
 as parent. The root's base measure gives part of its mass to the one symbol of all unknown words and deals the rest evenly to
-the known ones. Seating is kept as tables per (context, word); Gibbs sweeps draw each number of tables given the totals of the sweep
-before. The probability of a word is averaged over the sweeps kept.
-
-Pairs, contexts and words are written tables that grow with the corpus. Each sweep joins the totals of all tables by context and by
-word to the pairs that occur more than once; a pair that occurs once has one table in every sweep. Draws depend on the pair and the sweep
-alone, not on how rows are dealt. Counts above _EXACT draw tables by an approximation of forward seating.
+the known ones. Seating is kept as the number of tables of each (context, word) and of each word at the root; the probability of a word is
+averaged over the sweeps kept.
+
+The pairs (context, word) are dealt to shards by context, so the customers and tables of a context are counted in its shard; a
+context that would fill a shard is cut by word, and the totals of its parts are added up between sweeps. Words are dealt to
+ranges of the root. A Gibbs sweep draws the tables of all pairs, each from its conditional given all other tables, its own customers
+taken out of the context and of the root; then the root's tables likewise. Draws of one sweep are made side by side, given the
+sweep before. Shards and ranges send each other packed arrays: a sum of tables for each word, and back what the root has of it. A pair
+that occurs once has one table in every sweep, and sends nothing.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, partitions, prepare, words_of, written
+from .common import blocks, mix, partitions, prepare, released, words_of, written
 
 SWEEPS, BURN_IN, STRENGTH = 6, 3, 1.0
-#: Shards of pairs at least, and training tokens of one at most: few shards pack and compress better.
-SHARDS, SHARD_TOKENS = 64, 4_000_000
+#: Training tokens of one shard, and shards at least.
+SHARD_TOKENS, SHARDS = 1_500_000, 4
+#: Words that rows name by a short code instead of their hash. It changes the rows' size, not the results.
+CODED_WORDS = 65_535
 _END = 0x8E5C3A9F17B2D461  # the end's hash; a document's first token follows an end
-_OTHER = 0x3D5B81C6E2F4A907  # the context of all other words, where a caller asks for a number of contexts
-_EXACT = 48  # counts up to this draw tables from their exact conditional
+_EXACT = 1024  # counts up to this draw tables from their exact conditional
+_BLOCK = 4 << 20
+_STATE, _MESSAGE, _ROWS, _SUM, _HOT, _DOCS = range(6)
+_SCHEMA = "kind int, at int, src long, data binary"
 
 
 def held_out(col: str = "doc_id"):
@@ -37,34 +45,49 @@ def held_out(col: str = "doc_id"):
 
 @dataclass
 class Totals:
-    """What tasks need of the training corpus: sizes, discount, and the contexts kept apart if a caller names their number."""
+    """What all tasks need of the training corpus. Only ``coded`` (CODED_WORDS at most) and ``hot`` (contexts larger than a half shard) are lists."""
 
     tokens: int
     words: int
     discount: float
     unknown: float  # the base measure's mass of the unknown symbol
-    frequent: np.ndarray  # hashes, sorted
     shards: int
-    every: bool = True  # every preceding word is a context
+    coded: np.ndarray  # hashes, sorted
+    hot: dict[int, int] = field(default_factory=dict)  # context: parts
 
     @property
     def base(self) -> float:
         return (1 - self.unknown) / max(self.words, 1)
 
     @property
-    def n_contexts(self) -> int:
-        return len(self.frequent) + 1  # the last is that of all other words
+    def hot_contexts(self) -> np.ndarray:
+        return np.array(sorted(self.hot), np.uint64)
 
 
-def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each token, its document, tokens of each document): words in lower case, then an end."""
-    h, doc, counts = words_of(texts, lower=True)
-    ends = np.cumsum(counts) + np.arange(len(counts))
-    out, owner = np.empty(len(h) + len(counts), np.uint64), np.repeat(np.arange(len(counts)), counts + 1)
-    is_end = np.zeros(len(out), bool)
-    is_end[ends] = True
-    out[is_end], out[~is_end] = np.uint64(_END), h
-    return out, owner.astype(np.uint16), counts + 1
+# ---------------------------------------------------------------- packed rows
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes, each behind its type and length."""
+    out = [len(arrays).to_bytes(2, "little")]
+    for a in arrays:
+        out += [a.dtype.str.encode().ljust(4), len(a).to_bytes(8, "little"), np.ascontiguousarray(a).tobytes()]
+    return b"".join(out)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    at, out = 2, []
+    for _ in range(int.from_bytes(data[:2], "little")):
+        kind, n = np.dtype(data[at : at + 4].decode().strip()), int.from_bytes(data[at + 4 : at + 12], "little")
+        out.append(np.frombuffer(data, kind, n, at + 12))
+        at += 12 + n * kind.itemsize
+    return out
+
+
+def _tight(x: np.ndarray) -> np.ndarray:
+    """Counts in the narrowest type that holds them."""
+    most = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if most < 2**8 else np.uint16 if most < 2**16 else np.uint32 if most < 2**32 else np.uint64)
 
 
 def _find(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,23 +95,80 @@ def _find(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, (sorted_values[at] == x) if len(sorted_values) else np.zeros(len(x), bool)
 
 
-def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    values, at = np.unique(keys, return_inverse=True)
-    return values, np.bincount(at, n, len(values)).astype(np.int64)
+def _short(x: np.ndarray, g: Totals) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, hashes of the words without one): coded words take two bytes, the others code 0 and their hash."""
+    at, ok = _find(g.coded, x)
+    return np.where(ok, at + 1, 0).astype(np.uint16), x[~ok]
+
+
+def _long(codes: np.ndarray, rest: np.ndarray, g: Totals) -> np.ndarray:
+    out = np.empty(len(codes), np.uint64)
+    some = codes > 0
+    out[some], out[~some] = g.coded[codes[some].astype(np.int64) - 1], rest
+    return out
+
+
+def _rows_of(kinds, ats, srcs, datas) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(ats, pa.int32()), pa.array(srcs, pa.int64()), pa.array(datas, pa.binary())], ["kind", "at", "src", "data"])
+
+
+def _batched(rows: Iterator[tuple], most: int = 16 << 20):
+    out, size = [], 0
+    for r in rows:
+        out.append(r)
+        size += len(r[3])
+        if size > most:
+            yield _rows_of(*zip(*out))
+            out, size = [], 0
+    yield _rows_of(*(zip(*out) if out else ([], [], [], [])))
+
+
+def _places(batches):
+    """(place, its rows (kind, src, data)) of rows sorted by place."""
+    key, rows = None, []
+    for batch in batches:
+        for kind, at, src, data in zip(*(batch.column(c).to_pylist() for c in ("kind", "at", "src", "data")), strict=True):
+            if at != key:
+                if rows:
+                    yield key, rows
+                key, rows = at, []
+            rows.append((kind, src, data))
+    if rows:
+        yield key, rows
+
+
+def _by_place(df: DataFrame, n: int) -> DataFrame:
+    """Rows of one place in one task, in order."""
+    return df.repartitionById(n, F.col("at")).sortWithinPartitions("at", "kind", "src")
+
+
+# ---------------------------------------------------------------- tokens, pairs
+
+
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each token, its document, tokens of each document): words in lower case, then an end."""
+    h, _, counts = words_of(texts, lower=True)
+    ends = np.cumsum(counts) + np.arange(len(counts))
+    out, owner = np.empty(len(h) + len(counts), np.uint64), np.repeat(np.arange(len(counts)), counts + 1)
+    is_end = np.zeros(len(out), bool)
+    is_end[ends] = True
+    out[is_end], out[~is_end] = np.uint64(_END), h
+    return out, owner, counts + 1
 
 
 def _word_batches(batches, most: int = 3_000_000):
+    """(w, n): training tokens by word, combined as far as memory allows."""
     kept, size = [], 0
 
     def flush():
-        w, n = _summed(np.concatenate([k for k, _ in kept]), np.concatenate([c for _, c in kept]))
-        return w, n
+        w, at = np.unique(np.concatenate([k for k, _ in kept]), return_inverse=True)
+        return w, np.bincount(at, np.concatenate([c for _, c in kept]), len(w)).astype(np.int64)
 
     def batch_of(w, n):
         for i in range(0, len(w), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(w[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000])], ["w", "n"])
 
-    for batch, texts in blocks(batches, 4 << 20):
+    for batch, texts in blocks(batches, _BLOCK):
         learn = ~np.array(batch.column("held_out").to_pylist(), bool)
         w, doc, _ = _tokens(texts)
         w, n = np.unique(w[learn[doc]], return_counts=True)
@@ -104,38 +184,101 @@ def _word_batches(batches, most: int = 3_000_000):
         yield from batch_of(*flush())
 
 
-def _contexts(w: np.ndarray, totals: Totals) -> np.ndarray:
-    """The context of each token: the word before it."""
-    before = np.empty_like(w)
-    before[1:] = w[:-1]
-    before[:1] = np.uint64(_END)
-    return before if totals.every else np.where(_find(totals.frequent, before)[1], before, np.uint64(_OTHER))
+def _range_of(h: np.ndarray, n) -> np.ndarray:
+    """Which of n ranges a hash is in, so that hashes in order are in order of ranges."""
+    return (((h >> np.uint64(32)) * np.asarray(n, np.uint64)) >> np.uint64(32)).astype(np.int64)
+
 
+def _shard_of(u: np.ndarray, w: np.ndarray, g: Totals) -> np.ndarray:
+    out = _range_of(mix(u ^ np.uint64(_END)), g.shards)
+    at, hot = _find(g.hot_contexts, u)
+    if hot.any():
+        parts = np.array([g.hot[c] for c in g.hot_contexts.tolist()], np.uint64)[at[hot]]
+        out[hot] = (out[hot] + _range_of(mix(w[hot] ^ np.uint64(_END)), parts)) % g.shards
+    return out
 
-def _keys(w: np.ndarray, u: np.ndarray) -> np.ndarray:
-    return mix(w + mix(u ^ np.uint64(_OTHER)))
 
+def _pairs(u: np.ndarray, w: np.ndarray, shard: np.ndarray | None = None):
+    """(key of each, distinct contexts, distinct words): keys in the order of shard, context and word."""
+    us, ui = np.unique(u, return_inverse=True)
+    ws, wi = np.unique(w, return_inverse=True)
+    key = ui.astype(np.int64) * len(ws) + wi
+    return key if shard is None else key + shard * (len(us) * len(ws)), us, ws
 
-def _shard_of(key: np.ndarray, shards: int) -> np.ndarray:
-    """Ranges of hashes, so that keys in order are in order of shards."""
-    return ((key >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
 
+def _as_bytes(ids: pa.Array) -> np.ndarray:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("doc_id", ids.type)])) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([ids], ["doc_id"]))
+    return np.frombuffer(sink.getvalue(), np.uint8)
 
-def _pair_batches(batches, totals: Totals):
-    """Rows (w, u, n): how often a word is learnt in a context; 0 where only held-out documents have it."""
-    for batch, texts in blocks(batches, 4 << 20):
+
+def _from_bytes(data: np.ndarray) -> pa.Array:
+    with pa.ipc.open_stream(data.tobytes()) as rows:
+        return rows.read_next_batch().column(0)
+
+
+def _block_rows(batches, g: Totals, give_docs: bool):
+    """Of each block of documents and each shard a row of its pairs; with give_docs also of who has them, and a row of the documents.
+
+    A row of pairs: contexts and how many pairs each has, words, how often they are learnt; and, with give_docs, how often they occur, and in
+    which documents of the block.
+    """
+    from pyspark import TaskContext
+
+    serial, task = 0, TaskContext.get().partitionId()
+    for batch, texts in blocks(batches, _BLOCK):
         learn = ~np.array(batch.column("held_out").to_pylist(), bool)
-        w, doc, _ = _tokens(texts)
-        u = _contexts(w, totals)
-        key, first, at = np.unique(_keys(w, u), return_index=True, return_inverse=True)
-        n = np.bincount(at, learn[doc], len(key)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(w[first].view(np.int64)), pa.array(u[first].view(np.int64)), pa.array(n)], ["w", "u", "n"])
+        w, doc, counts = _tokens(texts)
+        u = np.empty_like(w)
+        u[1:], u[:1] = w[:-1], np.uint64(_END)
+        shard = _shard_of(u, w, g)
+        key, _, _ = _pairs(u, w, shard)
+        order = np.argsort(key, kind="stable")
+        key, doc = key[order], doc[order]
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        n = np.diff(starts, append=len(key))
+        c = np.add.reduceat(learn[doc].astype(np.int64), starts)
+        u, w, shard = u[order][starts], w[order][starts], shard[order][starts]
+        ids, first = np.unique(shard, return_index=True)
+        cell, block = np.append(starts, len(doc)), (task << 32) + serial
+        serial += 1
+        if give_docs:
+            yield _DOCS, serial % g.shards, block, packed(~learn, _tight(counts), _as_bytes(batch.column("doc_id")))
+        for s, a, b in zip(ids.tolist(), first.tolist(), np.append(first[1:], len(u)).tolist(), strict=True):
+            new = np.flatnonzero(np.concatenate(([True], u[a + 1 : b] != u[a : b - 1])))
+            arrays = [*_short(u[a:b][new], g), _tight(np.diff(new, append=b - a)), *_short(w[a:b], g), _tight(c[a:b])]
+            if give_docs:
+                arrays += [_tight(n[a:b]), _tight(doc[cell[a] : cell[b]]), np.array([len(texts)], np.uint32)]
+            yield _ROWS, s, block, packed(*arrays)
+
+
+class Shard:
+    """The distinct pairs of a shard, in the order of context and word, with the rows of the blocks they came from."""
+
+    def __init__(self, rows: list[bytes], g: Totals):
+        self.rows = [unpacked(r) for r in rows]
+        u = np.concatenate([np.repeat(_long(r[0], r[1], g), r[2].astype(np.int64)) for r in self.rows])
+        w = np.concatenate([_long(r[3], r[4], g) for r in self.rows])
+        key, self.contexts, self.words = _pairs(u, w)
+        pair, self.at = np.unique(key, return_inverse=True)
+        self.c = np.bincount(self.at, np.concatenate([r[5] for r in self.rows]).astype(np.float64), len(pair)).astype(np.int64)
+        self.u, self.w = pair // len(self.words), pair % len(self.words)
+        self.stops = np.cumsum([len(r[5]) for r in self.rows])
+
+    @property
+    def once(self) -> np.ndarray:
+        """By context, its pairs that are learnt once."""
+        return np.bincount(self.u, self.c == 1, len(self.contexts)).astype(np.int64)
+
 
+# ---------------------------------------------------------------- drawing tables
 
-def _stirling(d: float) -> list[np.ndarray]:
-    """log of the generalised Stirling numbers of discount d: [c][t - 1] for 1 <= t <= c <= _EXACT."""
+
+def _stirling(d: float, most: int = _EXACT) -> list[np.ndarray]:
+    """log of the generalised Stirling numbers of discount d: [c][t - 1] for 1 <= t <= c <= most."""
     rows = [np.zeros(1)]
-    for c in range(1, _EXACT):
+    for c in range(1, most):
         last, new = rows[-1], np.full(c + 1, -np.inf)
         t = np.arange(1, c + 1)
         new[:c] = last + np.log(c - d * t)
@@ -144,285 +287,402 @@ def _stirling(d: float) -> list[np.ndarray]:
     return [np.zeros(0), *rows]
 
 
-class Seating:
-    """Draws tables of pairs; equal pairs, counts, weights and seeds give equal draws."""
-
-    def __init__(self, w: np.ndarray, u: np.ndarray, c: np.ndarray, totals: Totals, seed: int):
-        self.c, self.totals = c, totals
-        self.keys = mix(_keys(w, u.astype(np.uint64)) + np.uint64(seed))
-        self.rng = np.random.default_rng(seed)
-        self.stirling = _stirling(totals.discount)
-
-    def draw(self, a: np.ndarray) -> np.ndarray:
-        return self.draw_tables(self.c, a, self.keys)
-
-    def draw_tables(self, c: np.ndarray, a: np.ndarray, keys: np.ndarray | None = None) -> np.ndarray:
-        """Tables of c customers each, where a new table weighs a: P(t) in proportion to S(c, t) a**t."""
-        d, out = self.totals.discount, np.minimum(c, 1)
-        log_a = np.log(np.maximum(a, 1e-300))
-        x = self.rng.random(len(c)) if keys is None else (keys >> np.uint64(11)) * 2.0**-53
-        few = np.minimum(c, _EXACT)
-        by = np.argsort(few, kind="stable")
-        stops = np.searchsorted(few[by], np.arange(2, _EXACT + 2))
-        for k in range(2, _EXACT + 1):
-            rows = by[stops[k - 2] : stops[k - 1]]
-            for i in range(0, len(rows), 100_000):
-                part = rows[i : i + 100_000]
-                p = self.stirling[k][None, :] + log_a[part][:, None] * np.arange(1, k + 1)
-                p = np.cumsum(np.exp(p - p.max(1, keepdims=True)), 1)
-                out[part] = 1 + (x[part][:, None] * p[:, -1:] > p).sum(1)
-        many, at = np.flatnonzero(c > _EXACT), _EXACT
-        rngs = None if keys is None else {i: np.random.default_rng(int(keys[i])) for i in many.tolist()}
-        while len(many):  # later customers come in growing crowds that open tables at the rate the crowd begins and ends with
-            to = np.minimum(c[many], int(at * 1.25))
-            t, x = out[many], np.maximum(a[many], 1e-300)
-            rate = x * np.log((x + to - d * t) / (x + at - d * t))
-            opened = self.rng.poisson(rate) if rngs is None else np.array([rngs[i].poisson(r) for i, r in zip(many.tolist(), rate.tolist(), strict=True)])
-            out[many] = np.minimum(t + opened, c[many])
-            at = int(at * 1.25)
-            many = many[c[many] > at]
+_tables: dict = {}
+
+
+def draw_tables(c: np.ndarray, weights, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of c customers each: P(t) in proportion to S(c, t) times the weights of the first t tables.
+
+    weights(rows, j): of opening table number j (from 0) at these rows. Counts above _EXACT are seated forward in crowds that grow by a
+    quarter, each opening tables at the rate it begins and ends with.
+    """
+    if discount not in _tables:
+        _tables.clear()
+        _tables[discount] = _stirling(discount)
+    stirling, out = _tables[discount], np.minimum(c, 1)
+    if not len(c):
         return out
+    x = rng.random(len(c))
+    few = np.minimum(c, _EXACT)
+    by = np.argsort(few, kind="stable")
+    sizes, first = np.unique(few[by], return_index=True)
+    for k, a, b in zip(sizes.tolist(), first.tolist(), np.append(first[1:], len(c)).tolist(), strict=True):
+        step = max(1, 2_000_000 // max(k, 1))
+        for i in range(a, b if k > 1 else a, step):
+            rows = by[i : min(i + step, b)]
+            p = stirling[k][None, :] + np.cumsum(np.log(np.maximum(weights(rows[:, None], np.arange(k)[None, :]), 1e-300)), 1)
+            p = np.cumsum(np.exp(p - p.max(1, keepdims=True)), 1)
+            out[rows] = 1 + (x[rows][:, None] * p[:, -1:] > p).sum(1)
+    many, at = np.flatnonzero(c > _EXACT), _EXACT
+    while len(many):
+        to = np.minimum(c[many], int(at * 1.25))
+        t = out[many]
+        a = np.maximum(weights(many, t), 1e-300)
+        rate = a * np.log((a + to - discount * t) / (a + at - discount * t))
+        out[many] = np.minimum(t + rng.poisson(rate), c[many])
+        at = int(at * 1.25)
+        many = many[c[many] > at]
+    return out
+
+
+def pair_weights(t: np.ndarray, tables: np.ndarray, root: np.ndarray, root_tables: np.ndarray, customers: np.ndarray, fresh: float, d: float):
+    """Weights of draw_tables() for pairs that have t tables now: of table j, given all other tables.
+
+    tables: the context's others; root: the word's other customers at the root, and its tables there; customers: all others at the root; fresh: what a new
+    table there weighs, with the word's base probability. Own customers at the root have a table there as soon as there is one of them.
+    """
+    own = np.minimum(root_tables, root)
 
+    def weights(i, j):
+        seats = root[i] + j - d * np.maximum(own[i], np.minimum(root[i] + j, 1)) + fresh
+        return (STRENGTH + d * (tables[i] + j)) * seats / (STRENGTH + customers[i] + j)
 
-def _gathered(batches, rows: int = 200_000):
-    """Arrow batches put together to about so many rows."""
-    kept, size = [], 0
-    for b in batches:
-        kept.append(b)
-        size += len(b)
-        if size >= rows:
-            yield pa.Table.from_batches(kept)
-            kept, size = [], 0
-    if size:
-        yield pa.Table.from_batches(kept)
-
-
-def _drawn_batches(batches, totals: Totals, seed: int):
-    """Adds the tables drawn, column t, to rows with w, u, c and the weight a of a new table."""
-    for x in _gathered(batches):
-        w, u = (x[k].to_numpy().view(np.uint64) for k in ("w", "u"))
-        t = Seating(w, u, x["c"].to_numpy(), totals, seed).draw(x["a"].to_numpy())
-        yield from x.drop_columns(["a"]).append_column("t", pa.array(t)).to_batches(10_000)
-
-
-def _shards(batches):
-    """(shard, its rows) from rows sorted by shard."""
-    key, rows = None, []
-    for batch in batches:
-        for r in batch.to_pylist():
-            if r["shard"] != key:
-                if rows:
-                    yield key, rows
-                key, rows = r["shard"], []
-            rows.append(r)
-    if rows:
-        yield key, rows
+    return weights
 
 
 @dataclass
-class Norms:
-    """The corpus's totals and the tables of the sweeps kept."""
+class Sweep:
+    """The totals that a sweep is drawn by: the root's customers and tables, and the tables of hot contexts."""
 
-    totals: Totals
-    pairs: DataFrame  # w, u, c, ts
-    contexts: DataFrame  # u, customers, tables
-    words: DataFrame  # w, n, roots: the root's probability by sweep
-    unknown: list[float]  # the unknown symbol's, by sweep
-
-    def given(self, asked: DataFrame) -> DataFrame:
-        """Adds n and p to rows with w, u, c, ts."""
-        d, kept = self.totals.discount, SWEEPS - BURN_IN
-        x = asked.join(self.contexts, "u", "left").join(self.words, "w", "left")
-        zero = lambda col: F.coalesce(col, F.lit(0))
-        root = lambda k: F.coalesce(F.col("roots")[k], F.lit(self.unknown[k]))
-        terms = [zero(F.col("c")) - d * zero(F.col("ts")[k]) + (STRENGTH + d * zero(F.col("tables")[k])) * root(k) for k in range(kept)]
-        p = sum(terms[1:], terms[0]) / kept / (STRENGTH + zero(F.col("customers")))
-        return x.select("w", "u", zero(F.col("n")).alias("n"), p.alias("p"))
+    number: int
+    customers: int
+    tables: int
+    hot: dict[int, int] = field(default_factory=dict)
 
-    @property
-    def probability(self) -> np.ndarray:
-        """By frequent word and frequent context, the last that of all others."""
-        f = self.totals.frequent
-        both = lambda name, more: self.pairs.sparkSession.createDataFrame([(int(v),) for v in [*f.view(np.int64), *more]], f"{name} long")
-        asked = both("w", []).crossJoin(both("u", [_OTHER])).join(self.pairs, ["w", "u"], "left")
-        out = np.zeros((len(f), len(f) + 1))
-        for r in self.given(asked).collect():
-            at, ok = _find(f, np.array([r.u % 2**64], np.uint64))
-            out[_find(f, np.array([r.w % 2**64], np.uint64))[0][0], at[0] if ok[0] else -1] = r.p
-        return out
+    def new_dish(self, g: Totals) -> float:
+        return STRENGTH + g.discount * self.tables
 
 
-def _packed_batches(batches, shards: int):
-    """Rows (w, u, n, p) packed by shard: the pair's key, n and p as bytes; block is -1."""
-    for x in _gathered(batches, 500_000):
-        key = _keys(x["w"].to_numpy().view(np.uint64), x["u"].to_numpy().view(np.uint64))
-        order = np.argsort(key)
-        key, n, p = key[order], x["n"].to_numpy()[order], x["p"].to_numpy()[order]
-        ids, first = np.unique(_shard_of(key, shards), return_index=True)
-        cuts = list(zip(first.tolist(), np.append(first[1:], len(key)).tolist(), strict=True))
-        cols = [pa.array([v[a:b].tobytes() for a, b in cuts], pa.binary()) for v in (key, n, p)]
-        yield pa.RecordBatch.from_arrays([pa.array([-1] * len(ids), pa.int64()), pa.array(ids.astype(np.int32)), *cols], ["block", "shard", "w", "n", "docs"])
+# ---------------------------------------------------------------- what shards and the root's ranges do
 
 
-def _block_batches(batches, totals: Totals):
-    """Of each block of documents: a row of its documents, and its pairs packed by shard.
+def _set_up(batches, g: Totals):
+    """From a shard's pairs: its state, and for each range of the root a message of its words.
 
-    Columns: block, shard (-1 for the first kind), doc_ids, held, tokens (arrays), w (keys of pairs), n, docs (bytes), size.
+    State: of the pairs learnt more than once c, context, word (places in the words of such pairs), tables; by context the pairs learnt once and
+    the hash if it is hot (else 0). Message: words, tokens learnt, pairs learnt once, whether the word is in the state.
     """
-    from pyspark import TaskContext
-
-    serial, task = 0, TaskContext.get().partitionId()
-    for batch, texts in blocks(batches, 4 << 20):
-        held = batch.column("held_out").to_pylist()
-        w, doc, counts = _tokens(texts)
-        key = _keys(w, _contexts(w, totals))
-        order = np.argsort(key, kind="stable")
-        key, docs = key[order], doc[order]
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        key, n = key[starts], np.diff(starts, append=len(key)).astype(np.uint32)
-        cell = np.append(starts, len(docs)).tolist()
-        ids, first = np.unique(_shard_of(key, totals.shards), return_index=True)
-        cuts = list(zip(first.tolist(), np.append(first[1:], len(key)).tolist(), strict=True))
-        block, rows = (task << 32) + serial, len(ids) + 1
-        serial += 1
-        pad = [None] * len(ids)
-        one = lambda x, kind: pa.array([x, *pad], pa.list_(kind))
-        id_list = pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), batch.column("doc_id")), pa.nulls(len(ids), pa.list_(batch.column("doc_id").type))])
-        columns = {
-            "block": pa.array([block] * rows), "shard": pa.array([-1, *ids.tolist()], pa.int32()), "doc_ids": id_list, "held": one(held, pa.bool_()), "tokens": one(counts.tolist(), pa.int64()),
-            "sums": pa.nulls(rows, pa.binary()), "w": pa.array([None, *(key[a:b].tobytes() for a, b in cuts)], pa.binary()), "n": pa.array([None, *(n[a:b].tobytes() for a, b in cuts)], pa.binary()),
-            "docs": pa.array([None, *(docs[cell[a] : cell[b]].tobytes() for a, b in cuts)], pa.binary()), "size": pa.array([len(texts)] * rows, pa.int32()),
-        }
-        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-
-def _score_batches(batches, totals: Totals):
-    """Of each shard and block, the sums over the shard's pairs; rows of documents pass through. Probabilities (block -1) come first."""
-    names = ("block", "shard", "doc_ids", "held", "tokens", "sums", "size")
-    got: dict = {}
-
-    def whole(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in rows], got["schema"].field(k).type) for k in names], names)
-
-    for shard, rows in _shards(_watched(batches, got)):
-        if shard < 0:
-            for i in range(0, len(rows), 16):
-                yield whole(rows[i : i + 16])
-            continue
-        given = [r for r in rows if r["block"] < 0]
-        key, n, p = (np.concatenate([np.frombuffer(r[k], t) for r in given]) for k, t in (("w", np.uint64), ("n", np.int64), ("docs", np.float64)))
-        order = np.argsort(key)
-        key, n, p = key[order], n[order], p[order]
-        values = (n > 0).astype(float), np.log10((n + 1) / (totals.tokens + totals.words + 1)), np.log10(p)
-        out = []
-        for r in rows:
-            if r["block"] < 0:
-                continue
-            at, ok = _find(key, np.frombuffer(r["w"], np.uint64))
-            assert ok.all(), "a pair without a probability"
-            at, docs = np.repeat(at, np.frombuffer(r["n"], np.uint32)), np.frombuffer(r["docs"], np.uint16)
-            out.append(r | {"sums": np.stack([np.bincount(docs, v[at], r["size"]) for v in values]).tobytes()})
-        for i in range(0, len(out), 64):
-            yield whole(out[i : i + 64])
 
+    def out():
+        for s, rows in _places(batches):
+            x = Shard([r[2] for r in rows], g)
+            often = np.flatnonzero(x.c > 1)
+            is_hot = np.isin(x.contexts, g.hot_contexts)
+            live = np.union1d(x.u[often], np.flatnonzero(is_hot))
+            u, hot = np.searchsorted(live, x.u[often]), is_hot[live]
+            active, w = np.unique(x.w[often], return_inverse=True)
+            yield _STATE, s, s, packed(_tight(x.c[often]), _tight(u), _tight(w), np.ones(len(often), np.uint8), _tight(x.once[live]), np.where(hot, x.contexts[live], np.uint64(0)))
+            n, once = (np.bincount(x.w, v, len(x.words)).astype(np.int64) for v in (x.c, x.c == 1))
+            is_active = np.zeros(len(x.words), bool)
+            is_active[active] = True
+            ranges = _range_of(x.words, g.shards)
+            ids, first = np.unique(ranges, return_index=True)
+            for r, a, b in zip(ids.tolist(), first.tolist(), np.append(first[1:], len(ranges)).tolist(), strict=True):
+                yield _MESSAGE, r, s, packed(x.words[a:b], _tight(n[a:b]), _tight(once[a:b]), is_active[a:b])
+            yield from _hot_rows(x.contexts, np.bincount(x.u, x.c, len(x.contexts)), x.once + np.bincount(x.u, x.c > 1, len(x.contexts)).astype(np.int64), g)
+
+    yield from _batched(out())
+
+
+def _hot_rows(contexts: np.ndarray, customers: np.ndarray, tables: np.ndarray, g: Totals):
+    at = np.flatnonzero(np.isin(contexts, g.hot_contexts))
+    if len(at):
+        yield _HOT, -1, 0, packed(contexts[at], customers[at].astype(np.int64), tables[at].astype(np.int64))
+
+
+def _root_set_up(batches, g: Totals):
+    """From the messages of the shards: the range's state, what it tells the shards, and its sums.
+
+    State: words that more than one pair or an active one has, their tokens, constant customers, customers and tables now; the shards that
+    have active words, how many, and places of these; the customers and tables of the sweeps kept.
+    """
 
-def _watched(batches, got: dict):
-    for b in batches:
-        got["schema"] = b.schema
-        yield b
+    def out():
+        for r, rows in _places(batches):
+            told = [(s, *unpacked(data)) for _, s, data in rows]
+            words, at = np.unique(np.concatenate([t[1] for t in told]), return_inverse=True)
+            total = lambda i: np.bincount(at, np.concatenate([t[i] for t in told]).astype(np.float64), len(words)).astype(np.int64)
+            n, once, active = total(2), total(3), total(4)
+            kept = (once > 1) | (active > 0)
+            place = np.cumsum(kept) - 1
+            stops, srcs, places = np.cumsum([len(t[1]) for t in told]).tolist(), [], []
+            for t, a, b in zip(told, [0, *stops], stops):
+                own = at[a:b][t[4]]
+                if len(own):
+                    srcs.append(t[0])
+                    places.append(place[own])
+            c = (once + active)[kept]  # one table for each active pair is the least; the shards' first sums replace it
+            alone = int(((once == 1) & ~kept).sum())
+            state = [words[kept], _tight(n[kept]), _tight(once[kept]), _tight(c), np.minimum(c, 1).astype(np.uint8), np.array(srcs, np.int64), np.array([len(p) for p in places], np.int64), _tight(np.concatenate(places) if places else np.zeros(0, np.int64)), np.array([alone], np.int64)]
+            yield from _root_rows(r, state)
+
+    yield from _batched(out())
+
+
+def _root_rows(r: int, state: list[np.ndarray]):
+    c, t, srcs, sizes, places, alone = state[3], state[4], state[5], state[6], state[7].astype(np.int64), int(state[8][0])
+    yield _STATE, r, r, packed(*state)
+    stops = np.cumsum(sizes).tolist()
+    for s, a, b in zip(srcs.tolist(), [0, *stops], stops):
+        yield _MESSAGE, s, r, packed(_tight(c[places[a:b]]), _tight(t[places[a:b]]))
+    yield _SUM, -1, r, packed(np.array([int(c.sum()) + alone, int(t.sum()) + alone], np.int64))
+
+
+def _sweep_shards(batches, g: Totals, now: Sweep):
+    """Draws the tables of the pairs learnt more than once, and tells the root the new sums."""
+    d, fresh, keep = g.discount, now.new_dish(g) * g.base, now.number >= BURN_IN
+
+    def out():
+        for s, rows in _places(batches):
+            state = unpacked(rows[0][2])
+            c, u, w, t, once, hot = (x.astype(np.int64) for x in state[:6])
+            told = [unpacked(data) for kind, _, data in rows if kind == _MESSAGE]
+            rc, rt = (np.concatenate([m[i] for m in told]).astype(np.int64) if told else np.zeros(0, np.int64) for i in (0, 1))
+            tables = once + np.bincount(u, t, len(once)).astype(np.int64)
+            for i in np.flatnonzero(hot).tolist():
+                tables[i] = now.hot[int(hot[i]) % 2**64]
+            weights = pair_weights(t, tables[u] - t, rc[w] - t, rt[w], now.customers - t, fresh, d)
+            t = draw_tables(c, weights, d, np.random.default_rng([now.number, s]))
+            yield _STATE, s, s, packed(*state[:3], _tight(t), *state[4:], *([_tight(t)] if keep else []))
+            sums = _tight(np.bincount(w, t, len(rc)).astype(np.int64))
+            at = 0
+            for (_, r, _), m in zip([x for x in rows if x[0] == _MESSAGE], told, strict=True):
+                yield _MESSAGE, r, s, packed(sums[at : at + len(m[0])])
+                at += len(m[0])
+            if hot.any():
+                at = np.flatnonzero(hot)
+                yield _HOT, -1, 0, packed(state[5][at], np.zeros(len(at), np.int64), (once + np.bincount(u, t, len(once)).astype(np.int64))[at])
+
+    yield from _batched(out())
+
+
+def _sweep_root(batches, g: Totals, now: Sweep):
+    """Adds up the tables of a word, which are its customers at the root, and draws the root's tables."""
+    d, keep = g.discount, now.number >= BURN_IN
+
+    def out():
+        for r, rows in _places(batches):
+            state = unpacked(rows[0][2])
+            told = [unpacked(data)[0] for kind, _, data in rows if kind == _MESSAGE]
+            sums = np.concatenate(told).astype(np.float64) if told else np.zeros(0)
+            c = state[2].astype(np.int64) + np.bincount(state[7].astype(np.int64), sums, len(state[0])).astype(np.int64)
+            was = state[4].astype(np.int64)
+            weights = lambda i, j: (STRENGTH + d * (now.tables - was[i] + j)) * g.base
+            t = draw_tables(c, weights, d, np.random.default_rng([SWEEPS + now.number, r]))
+            yield from _root_rows(r, [*state[:3], _tight(c), _tight(t), *state[5:], *([_tight(c), _tight(t)] if keep else [])])
+
+    yield from _batched(out())
+
+
+def _root_answers(batches):
+    """For each shard that names words of the range: their tokens learnt, and customers and tables at the root in the sweeps kept."""
+
+    def out():
+        for r, rows in _places(batches):
+            state = next((unpacked(data) for kind, _, data in rows if kind == _STATE), None)
+            asked = [(s, *unpacked(data)) for kind, s, data in rows if kind == _MESSAGE]
+            words, at = np.unique(np.concatenate([m[1] for m in asked]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([m[2] for m in asked]).astype(np.float64), len(words)).astype(np.int64)
+            place, ok = _find(state[0], words)
+            cols = [np.where(ok, v[place] if len(v) else 0, (n > 0).astype(np.int64)) for v in state[9:]]  # a word outside the state has one pair, and that once
+            stops = np.cumsum([len(m[1]) for m in asked]).tolist()
+            for m, a, b in zip(asked, [0, *stops], stops):
+                yield _MESSAGE, m[0], r, packed(_tight(n[at[a:b]]), *[_tight(v[at[a:b]]) for v in cols])
+
+    yield from _batched(out())
+
+
+def _probabilities(rows: list[tuple], g: Totals, kept: list[Sweep], hot: list[dict]):
+    """(shard, tokens learnt of each word, probability of each pair): averaged over the sweeps kept."""
+    d = g.discount
+    x = Shard([data for kind, _, data in rows if kind == _ROWS], g)
+    state = next((unpacked(data) for kind, _, data in rows if kind == _STATE), None)
+    told = [unpacked(data) for kind, _, data in rows if kind == _MESSAGE]
+    col = lambda i: np.concatenate([m[i] for m in told]).astype(np.int64)
+    n = col(0)
+    assert len(n) == len(x.words), "the root has not answered for every word"
+    often, customers, p = x.c > 1, np.bincount(x.u, x.c, len(x.contexts)), 0.0
+    is_hot = np.flatnonzero(np.isin(x.contexts, g.hot_contexts)).tolist()
+    for i in is_hot:
+        customers[i] = hot[-1][int(x.contexts[i])][0]
+    for k, sweep in enumerate(kept):
+        t = (x.c > 0).astype(np.int64)
+        t[often] = state[6 + k]
+        tables = np.bincount(x.u, t, len(x.contexts))
+        for i in is_hot:
+            tables[i] = hot[k][int(x.contexts[i])][1]
+        rc, rt, fresh = col(1 + 2 * k), col(2 + 2 * k), sweep.new_dish(g)
+        root = np.where(n > 0, rc - d * rt + fresh * g.base, fresh * g.unknown) / (STRENGTH + sweep.customers)
+        p = p + (x.c - d * t + (STRENGTH + d * tables[x.u]) * root[x.w]) / (STRENGTH + customers[x.u])
+    return x, n, p / len(kept)
+
+
+def _score_rows(batches, g: Totals, kept: list[Sweep], hot: list[dict]):
+    """Of each block and shard the sums by document: places of the documents, known tokens, base scores, scores."""
+
+    def out():
+        for s, rows in _places(batches):
+            yield from ((kind, s, src, data) for kind, src, data in rows if kind == _DOCS)
+            if all(kind != _ROWS for kind, _, _ in rows):
+                continue
+            x, n, p = _probabilities(rows, g, kept, hot)
+            base, p = np.log10((n + 1) / (g.tokens + g.words + 1)), np.log10(p)
+            srcs = [src for kind, src, _ in rows if kind == _ROWS]
+            for block, r, stop in zip(srcs, x.rows, x.stops.tolist(), strict=True):
+                at = np.repeat(x.at[stop - len(r[5]) : stop], r[6].astype(np.int64))
+                docs, word = r[7].astype(np.int64), x.w[at]
+                size = int(r[8][0])
+                some = np.flatnonzero(np.bincount(docs, minlength=size))
+                yield _ROWS, s, block, packed(_tight(some), *[np.bincount(docs, v, size)[some] for v in (base[word], p[at])], _tight(np.bincount(docs, n[word] > 0, size)[some].astype(np.int64)))
+
+    yield from _batched(out())
+
+
+def _pair_batches(batches, g: Totals, kept: list[Sweep], hot: list[dict]):
+    for _, rows in _places(batches):
+        if all(kind != _ROWS for kind, _, _ in rows):
+            continue
+        x, n, p = _probabilities(rows, g, kept, hot)
+        yield pa.RecordBatch.from_arrays([pa.array(x.contexts[x.u].view(np.int64)), pa.array(x.words[x.w].view(np.int64)), pa.array(x.c), pa.array(n[x.w]), pa.array(p)], ["context", "word", "count", "word_count", "p"])
 
 
 def _merge_batches(batches):
     """Adds up the sums of each block, in the order of shards; a row for each document."""
-    kind = {}
-
-    def done(rows):
-        head = next(r for r in rows if r["shard"] < 0)
-        sums = np.zeros((3, head["size"]))
-        for r in rows:
-            if r["sums"] is not None:
-                sums += np.frombuffer(r["sums"], np.float64).reshape(3, -1)
-        cols = [pa.array(head["doc_ids"], kind["schema"].field("doc_ids").type.value_type), pa.array(head["held"], pa.bool_()), pa.array(head["tokens"], pa.int64()), pa.array(np.rint(sums[0]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+
+    def done(head, sums):
+        held, counts, ids = unpacked(head)
+        known, base, score = (np.zeros(len(held)) for _ in range(3))
+        for data in sums:
+            docs, b, p, k = unpacked(data)
+            docs = docs.astype(np.int64)
+            base[docs] += b
+            score[docs] += p
+            known[docs] += k
+        cols = [_from_bytes(ids), pa.array(held), pa.array(counts.astype(np.int64)), pa.array(np.rint(known).astype(np.int64)), pa.array(base), pa.array(score)]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    key, rows = None, []
-    for batch in _watched(batches, kind):
-        for r in batch.to_pylist():
-            if r["block"] != key:
-                if rows:
-                    yield done(rows)
-                key, rows = r["block"], []
-            rows.append(r)
-    if rows:
-        yield done(rows)
+    key, head, sums = None, None, []
+    for batch in batches:
+        for kind, src, data in zip(*(batch.column(c).to_pylist() for c in ("kind", "src", "data")), strict=True):
+            if src != key:
+                if head is not None:
+                    yield done(head, sums)
+                key, head, sums = src, None, []
+            if kind == _DOCS:
+                head = data
+            else:
+                sums.append(data)
+    if head is not None:
+        yield done(head, sums)
 
 
-def learn(docs: DataFrame, contexts: int | None = None) -> Norms:
-    """Counts words and pairs and samples seatings; docs: doc_id, text, held_out. ``contexts``: see scores()."""
-    spark = prepare(docs.sparkSession)
+# ---------------------------------------------------------------- the whole
+
+
+@dataclass
+class Model:
+    """What learning leaves: totals, the sweeps kept, and written tables: the shards' state, the root's, and the shards' words."""
+
+    totals: Totals
+    kept: list[Sweep]
+    hot: list[dict]  # for each sweep kept, of each hot context its customers and tables
+    state: DataFrame
+    root: DataFrame
+    links: DataFrame
+
+    def asked(self, rows: DataFrame) -> DataFrame:
+        """For each shard its state, the root's answers, and the pairs of rows (doc_id, text, held_out), all of which were counted in learn()."""
+        g = self.totals
+        answers = _mapped(_by_place(self.links.unionByName(self.root), g.shards), _root_answers)
+        pairs = rows.mapInArrow(lambda it: _batched(_block_rows(it, g, True)), _SCHEMA)
+        return _by_place(pairs.unionByName(answers).unionByName(self.state), g.shards)
+
+
+def _collected(df: DataFrame, kind: int) -> list[list[np.ndarray]]:
+    return [unpacked(bytes(r.data)) for r in df.where(F.col("kind") == kind).select("data").collect()]
+
+
+def _hot_sums(df: DataFrame) -> dict[int, tuple[int, int]]:
+    """Of each hot context its customers and tables, added up over its parts."""
+    out: dict[int, tuple[int, int]] = {}
+    for contexts, customers, tables in _collected(df, _HOT):
+        for u, c, t in zip(contexts.tolist(), customers.tolist(), tables.tolist(), strict=True):
+            out[u] = (out.get(u, (0, 0))[0] + c, out.get(u, (0, 0))[1] + t)
+    return out
+
+
+def _root_totals(root: DataFrame) -> tuple[int, int]:
+    """The root's customers and tables, from the sums of its ranges."""
+    sums = [x[0] for x in _collected(root, _SUM)]
+    return int(sum(s[0] for s in sums)), int(sum(s[1] for s in sums))
+
+
+def _mapped(df: DataFrame, f, *args) -> DataFrame:
+    return df.mapInArrow(lambda it: f(it, *args), _SCHEMA)
+
+
+def learn(docs: DataFrame) -> Model:
+    """Counts words and pairs and samples seatings; docs: doc_id, text, held_out.
+
+    The driver gets the CODED_WORDS most frequent words, the contexts of more than half a shard, and two sums of each range of the root; all
+    else stays in tables. Pairs that only held-out documents have are counted 0, and name their words, so that the root answers for them.
+    """
+    prepare(docs.sparkSession)
     rows = docs.select("text", "held_out")
     counts = written(rows.mapInArrow(_word_batches, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
     tokens, words, once, twice = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    top = [r.w % 2**64 for r in counts.orderBy(F.desc("n"), "w").limit(contexts).collect()] if contexts is not None else []
-    frequent = np.array(sorted({*top, _END}), np.uint64)
     discount = min(0.95, max(0.1, once / max(once + 2 * twice, 1)))
     unknown = min(0.98, max(0.5, once / max(discount**2 * words, 1)))
-    shards = min(2**20, max(SHARDS, math.ceil(tokens / SHARD_TOKENS)))
-    g = Totals(int(tokens), int(words), discount, unknown, frequent, shards, contexts is None)
-    d, c = discount, F.col("c")
-    pairs = written(rows.mapInArrow(lambda it: _pair_batches(it, g), "w long, u long, n long").groupBy("w", "u").agg(F.sum("n").alias("c")))
-    ones, some = F.count_if(c == 1), F.count_if(c > 0)
-    none = F.array().cast("array<double>")
-    by_context = written(pairs.where("c > 0").groupBy("u").agg(F.sum("c").alias("customers"), ones.alias("ones"), some.cast("double").alias("t")).withColumn("tables", none))
-    by_word = written(pairs.where("c > 0").groupBy("w").agg(F.sum("c").alias("n"), ones.alias("ones"), some.alias("c"), F.lit(1).cast("long").alias("t")).withColumn("roots", none))
-    many = pairs.where("c > 1").withColumn("ts", F.array().cast("array<long>"))
-    tables, roots, missing = pairs.where("c > 0").count(), words, []
+    shards = max(SHARDS, math.ceil(tokens / SHARD_TOKENS))
+    coded = np.array(sorted(r.w % 2**64 for r in counts.orderBy(F.desc("n"), "w").limit(CODED_WORDS).collect()), np.uint64)
+    hot = {r.w % 2**64: min(shards, math.ceil(2 * r.n / SHARD_TOKENS)) for r in counts.where(F.col("n") > SHARD_TOKENS / 2).collect()}
+    g = Totals(int(tokens), int(words), discount, unknown, shards, coded, hot)
+    released(counts)
+    pairs = rows.mapInArrow(lambda it: _batched(_block_rows(it, g, False)), _SCHEMA)
+    first = written(_mapped(_by_place(pairs, shards), _set_up, g))
+    is_message, is_state = F.col("kind") == _MESSAGE, F.col("kind") == _STATE
+    links, customers = first.where(is_message), _hot_sums(first)
+    root = written(_mapped(_by_place(links, shards), _root_set_up, g))
+    at, tables, kept, hot_kept = first, {u: t for u, (_, t) in customers.items()}, [], []
     for k in range(SWEEPS):
-        new_dish = (STRENGTH + d * roots) * g.base
-        root = F.greatest(c - d * F.col("t") + new_dish, F.lit(1e-300)) / (STRENGTH + tables)
-        x = many.join(by_context.select("u", "t"), "u").withColumnRenamed("t", "tu").join(by_word.select("w", root.alias("r")), "w")
-        x = x.select("w", "u", "c", "ts", ((STRENGTH + d * F.col("tu")) * F.col("r")).alias("a"))
-        drawn = x.mapInArrow(lambda it, k=k: _drawn_batches(it, g, k), "w long, u long, c long, ts array<long>, t long")
-        many = written(drawn.select("w", "u", "c", F.concat("ts", F.array("t")).alias("ts") if k >= BURN_IN else "ts", "t"))
-        in_context = by_context.drop("t").join(many.groupBy("u").agg(F.sum("t").alias("more")), "u", "left")
-        t = (F.col("ones") + F.coalesce("more", F.lit(0))).cast("double")
-        by_context = written(in_context.select("u", "customers", "ones", t.alias("t"), F.concat("tables", F.array(t)).alias("tables") if k >= BURN_IN else "tables"))
-        at_root = by_word.drop("t", "c").join(many.groupBy("w").agg(F.sum("t").alias("more")), "w", "left")
-        at_root = at_root.select("w", F.lit(0).cast("long").alias("u"), "n", "ones", "roots", (F.col("ones") + F.coalesce("more", F.lit(0))).alias("c"), F.lit(new_dish).alias("a"))
-        by_word = written(at_root.mapInArrow(lambda it, k=k: _drawn_batches(it, g, SWEEPS + k), "w long, u long, n long, ones long, roots array<double>, c long, t long").drop("u"))
-        tables, roots = by_word.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+        now = Sweep(k, *_root_totals(root), tables)
+        drawn = written(_mapped(_by_place(at.where(is_state).unionByName(root.where(is_message)), shards), _sweep_shards, g, now))
+        seated = written(_mapped(_by_place(drawn.where(is_message).unionByName(root.where(is_state)), shards), _sweep_root, g, now))
+        released(root, *([at] if k else []))
+        at, root, tables = drawn, seated, {u: t for u, (_, t) in _hot_sums(drawn).items()}
         if k >= BURN_IN:
-            new_dish = STRENGTH + d * roots
-            by_word = by_word.withColumn("roots", F.concat("roots", F.array((c - d * F.col("t") + new_dish * g.base) / (STRENGTH + tables))))
-            missing.append(new_dish * unknown / (STRENGTH + tables))
-        many = many.drop("t")
-    few = pairs.where("c < 2").withColumn("ts", F.array_repeat(c, SWEEPS - BURN_IN))
-    return Norms(g, few.unionByName(many), by_context.select("u", "customers", "tables"), by_word.select("w", "n", "roots"), missing)
+            kept.append(Sweep(k, *_root_totals(root)))
+            hot_kept.append({u: (customers[u][0], t) for u, t in tables.items()})
+    return Model(g, kept, hot_kept, at.where(is_state), root.where(is_state), links)
+
+
+def probabilities(docs: DataFrame) -> DataFrame:
+    """(context, word, count, word_count, p): each pair of the documents, held out or not; words by hash, p as scores() takes it."""
+    rows = docs.select("doc_id", "text", held_out().alias("held_out"))
+    model = learn(rows)
+    g, kept, hot = model.totals, model.kept, model.hot
+    return model.asked(rows).mapInArrow(lambda it: _pair_batches(it, g, kept, hot), "context long, word long, count long, word_count long, p double")
 
 
-def scores(docs: DataFrame, contexts: int | None = None) -> DataFrame:
+def scores(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the documents that aren't held out and scores all. score is log10 of the model's probability of the text: lower-case
-    words, then an end. Every preceding word is a context of its own, unless ``contexts`` names how many of the most frequent
-    words are, and all others share one. Null, empty and blank texts are an end alone; repeated rows give repeated rows; null ids are
-    kept and learnt from; other columns are ignored; no rows give no rows.
+    words, then an end. Every preceding word is a context of its own. Null, empty and blank texts are an end alone; repeated rows give
+    repeated rows; null ids are kept and learnt from; other columns are ignored; no rows give no rows.
     Perplexity of a set of documents is 10 ** (-sum(score) / sum(n_tokens)).
     """
     spark = prepare(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", "text", held_out().alias("held_out"))
-    norms = learn(rows, contexts)
-    g = norms.totals
-    shape = f"block long, shard int, doc_ids array<{kind}>, held array<boolean>, tokens array<long>, sums binary"
-    given = norms.given(norms.pairs).mapInArrow(lambda it: _packed_batches(it, g.shards), "block long, shard int, w binary, n binary, docs binary")
-    packed = rows.mapInArrow(lambda it: _block_batches(it, g), f"{shape}, w binary, n binary, docs binary, size int").unionByName(given, allowMissingColumns=True)
-    dealt = packed.repartition(partitions(spark), "shard", F.when(F.col("shard") < 0, F.col("block"))).sortWithinPartitions("shard", "block")
-    scored = dealt.mapInArrow(lambda it: _score_batches(it, g), f"{shape}, size int")
-    merged = scored.repartition(partitions(spark), "block").sortWithinPartitions("block", "shard")
+    model = learn(rows)
+    g, kept, hot = model.totals, model.kept, model.hot
+    scored = _mapped(model.asked(rows), _score_rows, g, kept, hot)
+    merged = scored.repartition(partitions(spark), "src").sortWithinPartitions("src", F.col("kind") != _DOCS, "at")
     out = merged.mapInArrow(_merge_batches, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(g.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op6_language_model(spark, sf_dir: str) -> DataFrame:
+    """scores() of the whole table documents."""
     return scores(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
