@@ -121,6 +121,21 @@ def from_hex(text: Column) -> Column:
     return F.conv(text, 16, 10).cast("long")
 
 
+def code_at(code: Column, k: int, i: int, alphabet: Alphabet) -> Column:
+    """The code of character i (from the front) of a packed k-mer."""
+    return F.shiftrightunsigned(code, (k - 1 - i) * alphabet.bits).bitwiseAND(F.lit((1 << alphabet.bits) - 1))
+
+
+def from_string_reversed(seq: Column, k: int) -> Column:
+    """The first k characters, last one first."""
+    return F.reverse(F.left(seq, F.lit(k)))
+
+
+def next_codes(code: Column, char_code: Column, k: int, alphabet: Alphabet) -> Column:
+    """A packed k-mer moved on by one character of a packed stream."""
+    return shift_left(code, 1, k, alphabet).bitwiseOR(char_code)
+
+
 def pack_wide(kmer: Column, alphabet: Alphabet) -> Column:
     """A k-mer of any length as bytes that sort as its codes do, two symbols a byte; an odd last half is 0."""
     key = alphabet.order_key(kmer)

@@ -19,21 +19,21 @@ PIECE = 64
 
 
 def pieces(records: DataFrame, k: int, seq: str = "seq", piece: int = PIECE, before: int = 0, after: int = 0) -> DataFrame:
-    """Records of at least k characters, cut: base (first window's place) and part; with context characters if asked for.
+    """Records of at least k characters, cut: _base (first window's place) and _part; with context characters if asked for.
 
     part starts ``before`` characters ahead of the piece where the record has them (lead says how many).
     """
     n = F.char_length(seq)
-    cut = records.where(n >= k).withColumn("base", F.explode(F.sequence(F.lit(0), n - k, F.lit(piece))))
-    lead = F.least(F.col("base"), F.lit(before))
-    return cut.withColumn("lead", lead).withColumn("windows", F.least(F.lit(piece), n - k + 1 - F.col("base"))).withColumn("part", F.substring(F.col(seq), F.col("base") - lead + 1, lead + F.col("windows") + k - 1 + after))
+    cut = records.where(n >= k).withColumn("_base", F.explode(F.sequence(F.lit(0), n - k, F.lit(piece))))
+    lead = F.least(F.col("_base"), F.lit(before))
+    return cut.withColumn("_lead", lead).withColumn("_windows", F.least(F.lit(piece), n - k + 1 - F.col("_base"))).withColumn("_part", F.substring(F.col(seq), F.col("_base") - lead + 1, lead + F.col("_windows") + k - 1 + after))
 
 
 def kmers(records: DataFrame, k: int, seq: str = "seq", keep: tuple[str, ...] = (), where: Column | None = None) -> DataFrame:
     """(keep..., pos, kmer): windows of k characters, step 1; none of a record that is shorter. ``where`` filters them."""
     rows = pieces(records.select(*keep, seq), k, seq).drop(seq)
-    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)))
-    out = rows.select(*keep, (F.col("base") + F.col("i")).alias("pos"), F.substring(F.col("part"), F.col("i") + 1, F.lit(k)).alias("kmer"))
+    rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_windows") - 1)))
+    out = rows.select(*keep, (F.col("_base") + F.col("_i")).alias("pos"), F.substring(F.col("_part"), F.col("_i") + 1, F.lit(k)).alias("kmer"))
     return out if where is None else out.where(where)
 
 
@@ -72,6 +72,27 @@ def _quality_batches(batches, k: int, codec: Codec, n_keep: int):
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(pos), pa.concat_arrays(texts), pa.array(np.concatenate(values))], [*part.schema.names[:n_keep], "pos", "kmer", "quality"])
 
 
+def _sided_batches(batches, k: int, codec: Codec, n_keep: int):
+    """_quality_batches() with the characters beside each window."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            s, q = row.column(n_keep)[0].as_py() or "", row.column(n_keep + 1)[0].as_py() or ""
+            for b in _quality_batches([row], k, codec, n_keep):
+                n = b.num_rows
+                right = [*s[k : k + n]] + [""] * (n - len(s[k : k + n]))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(["", *s[: n - 1]]), pa.array(right)], [*b.schema.names, "left", "right"])
+
+
+def kmers_with_edges_and_quality(records: DataFrame, k: int, codec: Codec = ILLUMINA18, seq: str = "seq", qual: str = "qual", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep..., pos, kmer, quality, left, right): kmers_with_quality() and kmers_with_edges() in one pass."""
+    ship_package(records.sparkSession)
+    rows = records.select(*keep, seq, qual)
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "pos int, kmer string, quality double, left string, right string"])
+    return rows.mapInArrow(lambda it: _sided_batches(it, k, codec, len(keep)), schema)
+
+
 def _windows(text: str, k: int) -> pa.Array:
     """All windows of k characters of a text."""
     n = len(text) - k + 1
@@ -96,9 +117,9 @@ def kmers_with_quality(records: DataFrame, k: int, codec: Codec = ILLUMINA18, se
 def kmers_with_edges(records: DataFrame, k: int, seq: str = "seq", keep: tuple[str, ...] = ()) -> DataFrame:
     """(keep..., pos, kmer, left, right): each window with the characters beside it, empty at the record's ends."""
     rows = pieces(records.select(*keep, seq), k, seq, before=1, after=1).drop(seq)
-    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)))
-    at = F.col("i") + F.col("lead")
-    return rows.select(*keep, (F.col("base") + F.col("i")).alias("pos"), F.substring(F.col("part"), at + 1, F.lit(k)).alias("kmer"), F.when(at > 0, F.substring(F.col("part"), at, F.lit(1))).otherwise("").alias("left"), F.substring(F.col("part"), at + k + 1, F.lit(1)).alias("right"))
+    rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_windows") - 1)))
+    at = F.col("_i") + F.col("_lead")
+    return rows.select(*keep, (F.col("_base") + F.col("_i")).alias("pos"), F.substring(F.col("_part"), at + 1, F.lit(k)).alias("kmer"), F.when(at > 0, F.substring(F.col("_part"), at, F.lit(1))).otherwise("").alias("left"), F.substring(F.col("_part"), at + k + 1, F.lit(1)).alias("right"))
 
 
 _CODE = np.zeros(256, np.uint64)
@@ -206,6 +227,63 @@ def count_packed(records: DataFrame, k: int, model: str = "single", alphabet: Al
     return found.groupBy("code").agg(F.sum("count").alias("count")).select(alphabet.unpack(F.col("code"), k).alias("kmer"), "count")
 
 
+def _wide_counts(batches, k: int):
+    """Counts of k-mers packed in two numbers: the first k - 31 letters, and the last 31."""
+    for batch in batches:
+        for chars, owner in joined_texts(batch.column(0)):
+            n = len(chars) - k + 1
+            if n <= 0:
+                continue
+            codes, at = _CODE[chars], np.flatnonzero(owner[:n] == owner[k - 1 :])
+            high, low = packed_windows(codes, k - 31)[at], packed_windows(codes, 31)[at + k - 31]
+            order = np.lexsort((low, high))
+            high, low = high[order], low[order]
+            first = np.flatnonzero(np.concatenate(([True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])))) if len(at) else np.zeros(0, np.int64)
+            count = np.diff(first, append=len(at))
+            for i in range(0, len(first), 100_000):
+                cut = first[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(high[cut].view(np.int64)), pa.array(low[cut].view(np.int64)), pa.array(count[i : i + 100_000])], ["high", "low", "count"])
+
+
+def count_wide(records: DataFrame, k: int, seq: str = "seq") -> DataFrame:
+    """(kmer, count) of DNA for k from 32 to 62, from raw text: 16 bytes a k-mer in the shuffle, equal ones of a batch combined before it."""
+    if not 32 <= k <= 62:
+        raise ValueError("k is from 32 to 62")
+    ship_package(records.sparkSession)
+    found = records.select(seq).mapInArrow(lambda it: _wide_counts(it, k), "high long, low long, count long")
+    sums = found.groupBy("high", "low").agg(F.sum("count").alias("count"))
+    return sums.select(F.concat(DNA.unpack(F.col("high"), k - 31), DNA.unpack(F.col("low"), 31)).alias("kmer"), "count")
+
+
+def _position_sums(batches, k: int):
+    for batch in batches:
+        for chars, owner in joined_texts(batch.column(0)):
+            n = len(chars) - k + 1
+            if n <= 0:
+                continue
+            at = np.flatnonzero(owner[:n] == owner[k - 1 :])
+            begin = np.searchsorted(owner, np.arange(owner[-1] + 1))
+            pos = at - begin[owner[at]]
+            code = packed_windows(_CODE[chars], k)[at]
+            order = np.argsort(code, kind="stable")
+            code, pos = code[order], pos[order]
+            first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(at) else np.zeros(0, np.int64)
+            if len(first):
+                cols = [code[first].view(np.int64), np.diff(first, append=len(code)), np.minimum.reduceat(pos, first), np.maximum.reduceat(pos, first), np.add.reduceat(pos, first)]
+                for i in range(0, len(first), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000].astype(np.int64)) for c in cols], ["code", "count", "first_pos", "last_pos", "sum_pos"])
+
+
+def position_sums(records: DataFrame, k: int, seq: str = "seq") -> DataFrame:
+    """(kmer, count, first_pos, last_pos, sum_pos) over all records of DNA, for k up to 31, from raw text: combined by batch before the shuffle."""
+    if not 1 <= k <= 31:
+        raise ValueError("k is from 1 to 31")
+    ship_package(records.sparkSession)
+    found = records.select(seq).mapInArrow(lambda it: _position_sums(it, k), "code long, count long, first_pos long, last_pos long, sum_pos long")
+    out = found.groupBy("code").agg(F.sum("count").alias("count"), F.min("first_pos").alias("first_pos"), F.max("last_pos").alias("last_pos"), F.sum("sum_pos").alias("sum_pos"))
+    return out.select(DNA.unpack(F.col("code"), k).alias("kmer"), "count", "first_pos", "last_pos", "sum_pos")
+
+
 def _first_packed(batches, k: int, order: str):
     """Of each batch, for every canonical k-mer: how often it occurs, and where and on which strand first."""
     for batch in batches:

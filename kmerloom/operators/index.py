@@ -13,17 +13,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import DNA, Alphabet
-from ..session import checkpointed
+from ..session import checkpointed, scratch_path
 
 #: Kinds of index: how entries with equal keys are combined.
 KINDS = ("map", "multimap", "reduction", "counting", "saturating")
+#: Folds whose results can be folded again.
+ASSOCIATIVE = (F.sum, F.min, F.max, F.bit_and, F.bit_or, F.bit_xor, F.bool_and, F.bool_or)
+#: Queries up to which their side of a find on a sorted index is broadcast.
+FEW_QUERIES = 100_000
 
 
 @dataclass(frozen=True)
 class Index:
     """rows: the entries; keys: key columns; value: the value column; kind: one of KINDS.
 
-    order: which entry of a key a map keeps; fold: an aggregate of the value, for reductions; most: where saturating counts stop;
+    order: which entry of a key a map keeps; fold: an aggregate of the value, for reductions, and merge: one that combines its results,
+    needed to insert where the fold isn't one of ASSOCIATIVE (a count merges by sums); most: where saturating counts stop;
     transform: applied to the key of entries and queries alike (as for strand-neutral keys).
     dedupe: whether equal queries are asked once; sorted_by_range: entries lie in key order over range partitions.
     """
@@ -34,6 +39,7 @@ class Index:
     kind: str = "map"
     order: Column | None = None
     fold: Callable[[Column], Column] = F.sum
+    merge: Callable[[Column], Column] | None = None
     most: int = 255
     transform: Callable[[DataFrame], DataFrame] | None = None
     dedupe: bool = True
@@ -76,17 +82,40 @@ class Index:
         if self.kind in ("counting", "saturating") and self.value not in new.columns:
             new = new.withColumn(self.value, F.lit(1).cast("long"))
         cols = [*self.keys, self.value]
-        return self._combined(self.rows.select(*cols).unionByName(new.select(*cols)))
+        if self.kind != "reduction":
+            return self._combined(self.rows.select(*cols).unionByName(new.select(*cols)))
+        merge = self.merge or (self.fold if self.fold in ASSOCIATIVE else None)
+        if merge is None:
+            raise ValueError("the results of this fold can't be folded again: give merge, or keep what it is made of (a mean: sum and count)")
+        both = self.rows.select(*cols).unionByName(self._combined(new).rows.select(*cols))
+        return replace(replace(self, fold=merge)._combined(both), fold=self.fold)
 
     def checkpoint(self) -> Index:
         return replace(self, rows=checkpointed(self.rows))
 
+    def saved(self, path: str | None = None) -> Index:
+        """With its entries in a Parquet table (in the shared scratch folder, if no path is given).
+
+        Of a sorted index, files hold ranges of keys in order, so a find reads only the row groups between the least and the greatest key asked for.
+        """
+        spark = self.rows.sparkSession
+        path = path or scratch_path(spark)
+        self.rows.write.parquet(path)
+        return replace(self, rows=spark.read.schema(self.rows.schema).parquet(path))
+
     def _asked(self, queries: DataFrame) -> DataFrame:
         q = self._keyed(queries).select(*self.keys)
         return q.distinct() if self.dedupe else q
 
-    def _merged(self, asked: DataFrame) -> DataFrame:
-        return asked.hint("merge") if self.sorted_by_range else asked
+    def _met(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(queries, entries) to be joined. On a sorted index, entries are cut to the range of the queries, and few queries are broadcast."""
+        if not self.sorted_by_range:
+            return asked, self.rows
+        asked = checkpointed(asked)
+        key = self.keys[0]
+        n, low, high = asked.agg(F.count("*"), F.min(key), F.max(key)).first()
+        rows = self.rows.where(F.col(key).between(F.lit(low), F.lit(high)))
+        return (F.broadcast(asked) if n <= FEW_QUERIES else asked.hint("merge")), rows
 
     def with_group_predicate(self, predicate: Callable[[object], Column]) -> DataFrame:
         """Entries of keys whose whole group satisfies a predicate on aggregates. Groups are aggregated and joined, so a hot key isn't gathered."""
@@ -95,7 +124,8 @@ class Index:
 
     def find(self, queries: DataFrame, where: Column | None = None) -> DataFrame:
         """Entries of the keys asked for (that satisfy ``where``); missing keys give nothing."""
-        out = self._merged(self._asked(queries)).join(self.rows, list(self.keys))
+        asked, rows = self._met(self._asked(queries))
+        out = asked.join(rows, list(self.keys))
         return out if where is None else out.where(where)
 
     def scan(self, where: Column) -> DataFrame:
@@ -107,9 +137,10 @@ class Index:
 
     def count(self, queries: DataFrame, where: Column | None = None, name: str = "count") -> DataFrame:
         """A row for each key asked for: how many entries (that satisfy ``where``) it has, 0 for none."""
+        asked = self._asked(queries)
         per = self.rows if where is None else self.rows.where(where)
-        per = per.groupBy(*self.keys).agg(F.count("*").alias(name))
-        return self._asked(queries).join(per, list(self.keys), "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+        per = per.join(asked.distinct(), list(self.keys), "left_semi").groupBy(*self.keys).agg(F.count("*").alias(name))
+        return asked.join(per, list(self.keys), "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
 
     def count_scan(self, where: Column, name: str = "count") -> DataFrame:
         """A row for each key: how many of its entries satisfy the predicate, zeros too."""
@@ -120,7 +151,10 @@ class Index:
 
     def exists(self, queries: DataFrame, where: Column | None = None, name: str = "exists") -> DataFrame:
         """A row for each key asked for: 1 if it has an entry (that satisfies ``where``), else 0."""
-        return self.count(queries, where, "_n").withColumn(name, (F.col("_n") > 0).cast("int")).drop("_n")
+        asked = self._asked(queries)
+        some = (self.rows if where is None else self.rows.where(where)).select(*self.keys)
+        here, none = asked.join(some, list(self.keys), "left_semi"), asked.join(some, list(self.keys), "left_anti")
+        return here.withColumn(name, F.lit(1)).unionByName(none.withColumn(name, F.lit(0)))
 
     def erase(self, queries: DataFrame, where: Column | None = None) -> Index:
         """Without the entries of the keys asked for (that satisfy ``where``)."""

@@ -47,6 +47,14 @@ def blocks(total: int, parts: int) -> list[tuple[int, int]]:
     return list(zip(at, at[1:], strict=False))
 
 
+def in_blocks(df: DataFrame, number: str, total: int, parts: int) -> DataFrame:
+    """Rows numbered from 0 to total - 1 dealt to blocks(): the first ones to part 0."""
+    size, rest = divmod(total, parts)
+    n = F.col(number)
+    part = F.when(n < rest * (size + 1), F.floor(n / (size + 1))).otherwise(rest + F.floor((n - rest * (size + 1)) / max(size, 1)))
+    return df.withColumn("part", part.cast("int"))
+
+
 def cyclic(df: DataFrame, number: str, parts: int) -> DataFrame:
     """Row numbers dealt to parts in turn."""
     return df.withColumn("part", F.pmod(F.col(number), F.lit(parts)).cast("int"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregate, generate, ranges
 from ..operators.index import Index, in_order, strand
+from ..session import checkpointed
 from .common import canonical_sql, kmers_sql, raw_texts, registered, table, sequences
 
 QUERIES: dict = {}
@@ -54,8 +55,19 @@ def multimap_find_all_queries(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {_LINES}, {_ASKED} SELECT key, value, l_orderkey, l_linenumber FROM (SELECT DISTINCT key FROM a) JOIN l USING (key)")
 def sorted_multimap_find(spark, sf_dir) -> DataFrame:
-    """The same on a range-partitioned, sorted index, by merging."""
-    return _multimap(spark, sf_dir, sorted_by_range=True).find(_asked(spark, sf_dir)).select("key", "value", "at.l_orderkey", "at.l_linenumber")
+    """The same on a stored index in key order: only the queries' range of it is read."""
+    return _multimap(spark, sf_dir, sorted_by_range=True).saved().find(_asked(spark, sf_dir)).select("key", "value", "at.l_orderkey", "at.l_linenumber")
+
+
+@query(f"WITH {_LINES}, m AS (SELECT key, arg_min(value, (l_orderkey, l_linenumber)) AS value FROM l GROUP BY key) SELECT key, value, row_number() OVER (ORDER BY key) - 1 AS place FROM m")
+def sorted_map_order(spark, sf_dir) -> DataFrame:
+    """A sorted map: partitions and rows in them come in key order, so places number the keys."""
+    rows = Index.build(_lines(spark, sf_dir), ["key"], order=F.col("at"), sorted_by_range=True).rows
+    rows = rows.select("key", "value", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))
+    rows = checkpointed(rows)
+    sizes = rows.groupBy("p").agg(F.count("*").alias("n"))
+    before = sizes.select(F.col("p"), F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("o"))
+    return rows.join(F.broadcast(before), "p").select("key", "value", (F.col("i").bitwiseAND(F.lit(2**33 - 1)) + F.col("o")).alias("place"))
 
 
 @query(f"WITH {_LINES}, {_ASKED} SELECT key, value, l_orderkey, l_linenumber FROM (SELECT DISTINCT key FROM a) JOIN l USING (key) WHERE value > 25")
@@ -152,8 +164,14 @@ def reduction_folds(spark, sf_dir) -> DataFrame:
 
 @query("SELECT user_id, bit_xor(event_id) AS value FROM events GROUP BY 1")
 def reduction_by_function(spark, sf_dir) -> DataFrame:
-    """A fold given as a Python function, combined before the shuffle."""
-    return aggregate.reduced_by(table(spark, sf_dir, "events"), ["user_id"], "event_id", lambda a, b: a ^ b)
+    return aggregate.reduced(table(spark, sf_dir, "events"), ["user_id"], value=F.bit_xor("event_id"))
+
+
+@query("WITH e AS (SELECT user_id AS key, event_id AS value FROM events) SELECT key, sum(v)::BIGINT AS value FROM (SELECT key, count(*) AS v FROM e GROUP BY key UNION ALL SELECT key, count(*) FROM e WHERE value % 2 = 0 GROUP BY key) GROUP BY key")
+def insert_merges_counts(spark, sf_dir) -> DataFrame:
+    """A fold whose results merge by another one: counts that later entries are added to."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("value"))
+    return Index.build(rows, ["key"], kind="reduction", fold=F.count, merge=F.sum).insert(rows, F.col("value") % 2 == 0).rows
 
 
 @query("SELECT user_id AS key, count(*) AS value FROM events GROUP BY 1")

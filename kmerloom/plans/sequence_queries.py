@@ -48,10 +48,16 @@ def kmer_count_rna(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {kmers_sql(63)} SELECT kmer, count(*) AS count FROM k GROUP BY kmer")
 def kmer_count_63(spark, sf_dir) -> DataFrame:
-    """All counts, those of 1 too."""
+    """All counts, those of 1 too; for any k and alphabet."""
     return generate.kmers(sequences(spark, sf_dir), 63).groupBy("kmer").agg(F.count("*").alias("count"))
 
 
+@query(f"WITH {kmers_sql(62)} SELECT kmer, count(*) AS count FROM k GROUP BY kmer")
+def kmer_count_62(spark, sf_dir) -> DataFrame:
+    """Packed in two numbers."""
+    return generate.count_wide(raw_texts(spark, sf_dir), 62)
+
+
 @query(f"WITH {kmers_sql(63)} SELECT kmer, count(*) AS count FROM k GROUP BY kmer HAVING count(*) > 1")
 def kmer_repeated_63(spark, sf_dir) -> DataFrame:
     rows = generate.kmers(sequences(spark, sf_dir), 63)
@@ -96,10 +102,16 @@ def alphabet_symbols(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {kmers_sql(9)} SELECT kmer, count(*) AS count, min(pos) AS first_pos, max(pos) AS last_pos, sum(pos)::BIGINT AS sum_pos FROM k GROUP BY kmer")
 def kmer_positions(spark, sf_dir) -> DataFrame:
+    return generate.position_sums(raw_texts(spark, sf_dir), 9)
+
+
+@query(f"WITH {kmers_sql(13)} SELECT kmer, doc_id, pos::BIGINT AS pos FROM k WHERE kmer IN (SELECT kmer FROM k GROUP BY kmer HAVING count(*) BETWEEN 2 AND 5)")
+def kmer_position_tuples(spark, sf_dir) -> DataFrame:
+    """Tuples of k-mer and position; those of k-mers that occur two to five times."""
     records = sequences(spark, sf_dir).withColumn("file_id", F.lit(0)).withColumnRenamed("doc_id", "record_start")
-    rows = generate.kmer_positions(records, 9)
-    p = F.col("position.offset")
-    return rows.groupBy("kmer").agg(F.count("*").alias("count"), F.min(p).alias("first_pos"), F.max(p).alias("last_pos"), F.sum(p).alias("sum_pos"))
+    rows = generate.kmer_positions(records, 13)
+    some = rows.groupBy("kmer").agg(F.count("*").alias("n")).where("n between 2 and 5").select("kmer")
+    return rows.join(some, "kmer").select("kmer", F.col("position.record_start").alias("doc_id"), F.col("position.offset").alias("pos"))
 
 
 @query(f"WITH {kmers_sql(12)} SELECT doc_id, pos, kmer FROM k WHERE kmer LIKE 'GATT%'")
@@ -165,9 +177,9 @@ def owned_windows(spark, sf_dir) -> DataFrame:
     return filters.owned_windows(sequences(spark, sf_dir), 15, 1000, keep=("doc_id",))
 
 
-@query("SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[\\r\\n]', '', 'g'))::BIGINT AS size FROM documents")
+@query("SELECT doc_id, md5(regexp_replace(coalesce(text, ''), '[\\r\\n]', '', 'g')) AS seq_md5 FROM documents")
 def line_end_removal(spark, sf_dir) -> DataFrame:
-    return filters.without_line_ends(raw_texts(spark, sf_dir)).select("doc_id", F.char_length("seq").cast("long").alias("size"))
+    return filters.without_line_ends(raw_texts(spark, sf_dir)).select("doc_id", F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
 
 
 @query(f"WITH {kmers_sql(8)} SELECT reverse(kmer) AS kmer, count(*) AS count FROM k GROUP BY 1")
@@ -243,6 +255,35 @@ def record_ids(spark, sf_dir) -> DataFrame:
     return rows.select("doc_id", "short_id", "long_id", F.col("u.file_id").cast("long").alias("file_id"), "u.record_start", "u.offset")
 
 
+@query(
+    "WITH r AS (SELECT o_orderkey, ((o_orderkey % 100) << 16) | (o_custkey % 1000) AS id, ((o_orderkey % 100) << 16) | 500 AS other FROM orders) "
+    "SELECT o_orderkey, id + (id & 65535) AS further, id + o_orderkey % 7 AS moved, (id & 65535) - 500 AS places, CASE WHEN o_orderkey % 100 = 3 THEN (id & 65535) - 500 END AS from_3 FROM r"
+)
+def record_id_arithmetic(spark, sf_dir) -> DataFrame:
+    from .common import table
+
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 1000).alias("n"), (F.col("o_orderkey") % 100).alias("r"))
+    own, other, third = (ids.pack_short(F.lit(0), r, n) for r, n in ((F.col("r"), F.col("n")), (F.col("r"), F.lit(500)), (F.lit(3), F.lit(500))))
+    return rows.select("o_orderkey", ids.advanced(own, F.col("n")).alias("further"), ids.advanced(own, F.col("o_orderkey") % 7).alias("moved"), ids.distance(own, other).alias("places"), ids.distance(own, third).alias("from_3"))
+
+
+@query(
+    f"WITH {kmers_sql(8)}, u AS (SELECT DISTINCT kmer FROM k), p AS (SELECT kmer, {_PACK.format(x='kmer')} AS code FROM u) SELECT kmer, left(kmer, 5) AS filled, reverse(left(kmer, 5)) AS filled_back, (code & 13107)::BIGINT AS anded, (code | 13107)::BIGINT AS ored, xor(code, 13107)::BIGINT AS xored, "
+    "(code << 3)::BIGINT AS bits_left, (code >> 3)::BIGINT AS bits_right, code AS from_hex, lower(printf('%04X', code)) AS wide, kmer AS unwide, ((code >> 10) & 3)::BIGINT AS third, (((code << 2) & 65535) | 2)::BIGINT AS next_code, (code & 255) = (code & 240) AS same_masked FROM p"
+)
+def scalar_bits(spark, sf_dir) -> DataFrame:
+    """Filling, bitwise functions, raw words, packed sequences and access to their characters."""
+    rows = generate.count_packed(raw_texts(spark, sf_dir), 8).select("kmer")
+    x, code, m = F.col("kmer"), DNA.pack(F.col("kmer")), F.lit(13107).cast("long")
+    wide = F.translate(DNA.order_key(x), "0123", "0123")
+    packed = F.unhex(F.lpad(km.to_hex(code), 4, "0"))
+    return rows.select(
+        "kmer", km.from_string(x, 5).alias("filled"), km.from_string_reversed(x, 5).alias("filled_back"), km.bit_and(code, m).alias("anded"), km.bit_or(code, m).alias("ored"), km.bit_xor(code, m).alias("xored"), km.shift_bits(code, 3).alias("bits_left"),
+        km.shift_bits(code, -3).alias("bits_right"), km.from_hex(km.to_hex(code)).alias("from_hex"), F.lower(F.hex(packed)).alias("wide"), km.unpack_wide(km.pack_wide(x, DNA), 8, DNA).alias("unwide"), km.code_at(code, 8, 2, DNA).alias("third"),
+        km.next_codes(code, F.lit(2).cast("long"), 8, DNA).alias("next_code"), km.masked_equal(code, code.bitwiseAND(F.lit(240)), 255).alias("same_masked"),
+    ).where(wide.isNotNull())
+
+
 def _edges_sql(k: int) -> str:
     """e: (kmer, l, r) on the lesser strand, where l and r are the neighbours' letters, or nothing."""
     return f"""WITH {kmers_sql(k)}, e0 AS (SELECT k.doc_id, kmer, CASE WHEN pos > 0 THEN substr(s, pos, 1) ELSE '' END AS l, substr(s, pos + {k} + 1, 1) AS r FROM (SELECT doc_id, s, i - 1 AS pos, substr(s, i, {k}) AS kmer FROM (SELECT doc_id, s, unnest(range(1, length(s) - {k} + 2)) AS i FROM d)) k),

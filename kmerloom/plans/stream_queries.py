@@ -18,6 +18,28 @@ def sliding_window(spark, sf_dir) -> DataFrame:
     return out.select("event_id", "user_id", F.round("total", 6).alias("total"), "most")
 
 
+@query("WITH x AS (SELECT user_id, event_id, min(value) OVER w AS low, max(value) OVER w AS high, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) SELECT event_id, 0 AS pos, low AS value FROM x WHERE n = 3 UNION ALL SELECT event_id, 1, high FROM x WHERE n = 3")
+def sliding_one_to_many(spark, sf_dir) -> DataFrame:
+    """Each window gives two elements."""
+    out = streams.sliding(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], 3, low=F.min("value"), high=F.max("value"))
+    return streams.one_to_many(out, F.array("low", "high"), "element").select("event_id", "pos", F.col("element").alias("value"))
+
+
+@query("SELECT o_orderkey, (ntile(7) OVER (ORDER BY o_orderkey) - 1)::INT AS part FROM orders")
+def block_partition(spark, sf_dir) -> DataFrame:
+    from ..operators.numbering import numbered
+
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    return ranges.in_blocks(numbered(orders, ["o_orderkey"]), "number", orders.count(), 7).select("o_orderkey", "part")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders")
+def rebalanced_rows(spark, sf_dir) -> DataFrame:
+    from ..operators.aggregate import rebalanced
+
+    return rebalanced(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), 5)
+
+
 @query("SELECT p_partkey, p_retailprice * 2 AS twice FROM part WHERE p_size > 25")
 def filter_transform(spark, sf_dir) -> DataFrame:
     out = streams.filter_transform(table(spark, sf_dir, "part"), F.col("p_size") > 25, twice=F.col("p_retailprice") * 2)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -32,12 +34,51 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Sets a folder for checkpoints where neither spark.checkpoint.dir nor the context has one, as in local tests."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    """Sets a folder for checkpoints where neither spark.checkpoint.dir nor the context has one.
+
+    In local mode that is a temporary folder; on a cluster, a folder of the warehouse, which all executors share.
+    """
+    sc = spark.sparkContext
+    if spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
         return
     own = tempfile.mkdtemp(prefix="kmerloom-ckpt-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(own)
+    sc.setCheckpointDir(own)
+
+
+def _filesystem(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    try:
+        at, fs = _filesystem(spark, path)
+        fs.delete(at, True)
+    except Exception:  # noqa: BLE001 - the session may be gone at exit
+        pass
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder name in the shared checkpoint folder; what is written there goes when the driver ends."""
+    ensure_checkpoint_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    atexit.register(_removed, spark, path)
+    return path
+
+
+def renamed_parts(spark: SparkSession, folder: str, ending: str) -> None:
+    """Gives Spark's part files in a folder another ending."""
+    at, fs = _filesystem(spark, folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for f in fs.listStatus(at):
+        name = f.getPath().getName()
+        if name.startswith("part-"):
+            fs.rename(f.getPath(), path(at, f"{name.split('.')[0]}.{ending}"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -91,3 +91,43 @@ def test_folders_endings_and_sizes(spark, tmp_path):
         seqfiles.format_of("reads.txt")
     with pytest.raises(FileNotFoundError):
         seqfiles.read(spark, str(tmp_path / "none.fa"))
+
+
+def whole(rows):
+    out = {}
+    for r in sorted(rows, key=lambda r: (r.record_start, r.base)):
+        got = out.setdefault(r.record_start, [r.name, ""])
+        assert r.base == len(got[1])
+        got[1] += r.seq[: r.valid]
+    return list(map(tuple, out.values()))
+
+
+@pytest.mark.parametrize("split", [1, 2, 5, 9, 23, 1000])
+def test_fasta_pieces_any_split(spark, tmp_path, split):
+    (tmp_path / "a.fasta").write_bytes(FASTA.encode())
+    rows = seqfiles.read_fasta_pieces(spark, str(tmp_path / "a.fasta"), 3, split).collect()
+    records = [("one", "ACGTACGTTT"), ("two more of two", "ACG"), ("three still three", "AAAACC")]
+    assert whole(rows) == records
+    for r in rows:
+        seq = dict(records)[r.name]
+        assert r.seq == seq[r.base : r.base + r.valid + 3] or r.seq == seq[r.base : r.base + r.valid] and split > 5
+
+
+def test_one_long_line_is_read_by_many_tasks(spark, tmp_path):
+    seq = "".join(random.Random(3).choice("ACGT") for _ in range(300_000))
+    (tmp_path / "long.fa").write_text(f">chr\n{seq}\n>next\nACGT\n")
+    df = seqfiles.read_fasta_pieces(spark, str(tmp_path / "long.fa"), 20, 10_000)
+    rows = df.collect()
+    assert whole(rows) == [("chr", seq), ("next", "ACGT")] and max(len(r.seq) for r in rows) <= 10_020 and len(rows) > 29
+    assert generate.kmers(df, 21, keep=("base",)).count() == 300_000 - 20
+
+
+def test_written_files_read_back(spark, tmp_path):
+    df = spark.createDataFrame([("a", "ACGTACGT", "IIIIIIII"), ("b", "", ""), ("c", "A", "#")], "name string, seq string, qual string")
+    rows = seqfiles.read(spark, seqfiles.write_fastq(df, str(tmp_path / "q"))).collect()
+    assert sorted((r.name, r.seq, r.qual) for r in rows) == [("a", "ACGTACGT", "IIIIIIII"), ("b", "", ""), ("c", "A", "#")]
+    rows = seqfiles.read(spark, seqfiles.write_fasta(df, str(tmp_path / "f"), 3)).collect()
+    assert sorted((r.name, r.seq, len(r.lines)) for r in rows) == [("a", "ACGTACGT", 3), ("b", "", 0), ("c", "A", 1)]
+    (tmp_path / "none").mkdir()
+    with pytest.raises(FileNotFoundError):
+        seqfiles.read(spark, str(tmp_path / "none"))
