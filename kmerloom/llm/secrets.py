@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -81,21 +82,36 @@ def entropy_runs(s: str, chars: frozenset, width: int, least: float) -> Iterator
         yield start, end
 
 
+class Spans:
+    """Spans by start, of which one can ask whether any holds another span."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts, self.reach, most = [], [], -1
+        for a, b in sorted(spans):
+            most = max(most, b)
+            self.starts.append(a)
+            self.reach.append(most)
+
+    def hold(self, a: int, b: int) -> bool:
+        i = bisect_right(self.starts, a)
+        return i > 0 and self.reach[i - 1] >= b
+
+
 def scan(text: str, width: int = 20, allowed: Iterable[str] = ALLOWED) -> tuple[list, list]:
     """(base spans, all spans); an entropy span inside an allowed candidate or a base span is suppressed."""
     base = base_spans(text)
-    rules, more = [re.compile(p) for p in allowed], []
+    rules, more, known = [re.compile(p) for p in allowed], [], None
     for m in _CANDIDATE.finditer(text):
         s = m.group()
         if any(r.fullmatch(s) for r in rules):
             continue
-        found: list[tuple[int, int]] = []
+        known = known or Spans((a, b) for a, _, b in base)
+        narrow = Spans(())
         for kind, chars, least in CLASSES:
-            for a, b in entropy_runs(s, chars, width, least):
-                a, b = a + m.start(), b + m.start()
-                if not any(x <= a and b <= y for x, y in found) and not any(x <= a and b <= y for x, _, y in base):
-                    found.append((a, b))
-                    more.append((a, kind, b))
+            runs = [(a + m.start(), b + m.start()) for a, b in entropy_runs(s, chars, width, least)]
+            own = [(a, kind, b) for a, b in runs if not narrow.hold(a, b) and not known.hold(a, b)]
+            more += own
+            narrow = Spans((a, b) for a, _, b in own)
     order = (*KINDS, *(k for k, _, _ in CLASSES))
     return base, sorted(base + more, key=lambda s: (s[0], order.index(s[1]), s[2]))
 
@@ -104,7 +120,7 @@ def joined(spans: list) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, k, b in spans)
 
 
-def _scan_batches(batches, width: int, allowed: tuple):
+def _scan_batches(batches, width: int, allowed: tuple, keep_text: bool):
     for batch in batches:
         cols = [[], [], [], [], []]
         for text in batch.column("text").to_pylist():
@@ -113,8 +129,8 @@ def _scan_batches(batches, width: int, allowed: tuple):
                 cols[k].append(sum(s[1] == kind for s in base))
             cols[3].append(joined(base))
             cols[4].append(joined(spans))
-        own = [batch.column(i) for i, n in enumerate(batch.schema.names)]
-        yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:])], [*batch.schema.names, "n_assign", "n_access", "n_hex", "base_spans", "spans"])
+        names = ["doc_id", "text"] if keep_text else ["doc_id"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:])], [*names, "n_assign", "n_access", "n_hex", "base_spans", "spans"])
 
 
 def find_secrets(docs: DataFrame, width: int = 20, allowed: Iterable[str] = ALLOWED, keep_text: bool = False) -> DataFrame:
@@ -128,8 +144,8 @@ def find_secrets(docs: DataFrame, width: int = 20, allowed: Iterable[str] = ALLO
     rows = docs.select("doc_id", "text")
     kind = dict(rows.dtypes)["doc_id"]
     allowed = tuple(allowed)
-    out = rows.mapInArrow(lambda it: _scan_batches(it, width, allowed), f"doc_id {kind}, text string, n_assign long, n_access long, n_hex long, base_spans string, spans string")
-    return out if keep_text else out.drop("text")
+    text = "text string, " if keep_text else ""
+    return rows.mapInArrow(lambda it: _scan_batches(it, width, allowed, keep_text), f"doc_id {kind}, {text}n_assign long, n_access long, n_hex long, base_spans string, spans string")
 
 
 def _redact(text: str | None, spans: str, mask: str) -> str | None:
@@ -161,6 +177,7 @@ def redact_secrets(docs: DataFrame, width: int = 20, allowed: Iterable[str] = AL
 
 
 def op3_secrets(spark, sf_dir: str) -> DataFrame:
+    """find_secrets() of the whole table documents; the base spans as a digest."""
     found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
 
