@@ -325,4 +325,5 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:
+    """encode_digest() of the whole table documents."""
     return encode_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))

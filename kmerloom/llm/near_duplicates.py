@@ -246,6 +246,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
 
 def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:
+    """near_duplicates() of the whole table documents."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
 
 

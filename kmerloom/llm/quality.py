@@ -234,6 +234,7 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
+    """Fits on the labels that may be learnt and scores the whole table documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

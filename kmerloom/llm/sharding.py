@@ -90,5 +90,6 @@ def shard(docs: DataFrame, shards: int = 16, vnodes: int = 128, slack: float = 0
 
 
 def op1_sharding(spark, sf_dir: str) -> DataFrame:
+    """shard() of the whole table documents by the law ``bytes``."""
     out = shard(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

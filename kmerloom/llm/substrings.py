@@ -276,6 +276,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
 
 
 def op5_substrings(spark, sf_dir: str) -> DataFrame:
+    """drop_repeats() of the whole table documents; the kept words as a digest."""
     out = drop_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 

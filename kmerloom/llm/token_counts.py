@@ -41,12 +41,12 @@ def answers(histogram: DataFrame, block: int = 1024) -> DataFrame:
 
 
 def quantile(table: DataFrame, q: float) -> DataFrame:
-    """The least length that at least a share q of the documents doesn't exceed, as one row."""
+    """The least length that at least a share q of the documents doesn't exceed, as one row; null if the table is empty."""
     return table.where(F.col("share_docs_in") >= q - 1e-12).agg(F.min("context_limit").alias("quantile"))
 
 
 def at_limit(table: DataFrame, limit: int) -> DataFrame:
-    """One row for any limit: docs_over, total_tokens, tokens_kept; from the next longer length that occurs."""
+    """One row for any limit: docs_over, total_tokens, tokens_kept; from the next longer length that occurs. Of an empty table total_tokens and tokens_kept are null."""
     longer = table.where(F.col("context_limit") > limit).agg(F.min(F.struct("context_limit", "docs", "docs_over", "tokens_kept")).alias("n"), F.max("total_tokens").alias("t0"))
     whole = table.agg(F.max("total_tokens").alias("total_tokens"))
     over = F.coalesce(F.col("n.docs_over") + F.col("n.docs"), F.lit(0))
@@ -61,4 +61,5 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:
+    """token_counts() of the whole table documents."""
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
