@@ -17,14 +17,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, partitions, prepare, released, words_of, written
+from .common import blocks, documents, mix, partitions, prepare, released, words_of, written
 
 SWEEPS, BURN_IN, STRENGTH = 6, 3, 1.0
 #: Training tokens of one shard, and shards at least.
@@ -52,13 +52,22 @@ class Totals:
     discount: float
     unknown: float  # the base measure's mass of the unknown symbol
     shards: int
-    coded: np.ndarray  # hashes, sorted
+    coded: np.ndarray  # hashes
     hot: dict[int, int] = field(default_factory=dict)  # context: parts
+    _slots: np.ndarray | None = None
 
     @property
     def base(self) -> float:
         return (1 - self.unknown) / max(self.words, 1)
 
+    @property
+    def slots(self) -> np.ndarray:
+        """At the low bits of a coded word's hash, its place from 1; of words that share them one is found, and the others go by their hash."""
+        if self._slots is None:
+            self._slots = np.zeros(1 << 20, np.int32)
+            self._slots[(self.coded & np.uint64((1 << 20) - 1)).astype(np.int64)] = np.arange(1, len(self.coded) + 1)
+        return self._slots
+
     @property
     def hot_contexts(self) -> np.ndarray:
         return np.array(sorted(self.hot), np.uint64)
@@ -97,8 +106,10 @@ def _find(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _short(x: np.ndarray, g: Totals) -> tuple[np.ndarray, np.ndarray]:
     """(codes, hashes of the words without one): coded words take two bytes, the others code 0 and their hash."""
-    at, ok = _find(g.coded, x)
-    return np.where(ok, at + 1, 0).astype(np.uint16), x[~ok]
+    at = g.slots[(x & np.uint64((1 << 20) - 1)).astype(np.int64)]
+    if len(g.coded):
+        at = np.where(g.coded[at - 1] == x, at, 0)
+    return at.astype(np.uint16), x[at == 0]
 
 
 def _long(codes: np.ndarray, rest: np.ndarray, g: Totals) -> np.ndarray:
@@ -189,21 +200,21 @@ def _range_of(h: np.ndarray, n) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.asarray(n, np.uint64)) >> np.uint64(32)).astype(np.int64)
 
 
-def _shard_of(u: np.ndarray, w: np.ndarray, g: Totals) -> np.ndarray:
-    out = _range_of(mix(u ^ np.uint64(_END)), g.shards)
+def _pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit hashes by which pairs are ordered and told apart: the context's above the word's."""
+    return (mix(u ^ np.uint64(_END)) & np.uint64(0xFFFFFFFF00000000)) | (w >> np.uint64(32))
+
+
+def _dealt_keys(u: np.ndarray, w: np.ndarray, g: Totals) -> np.ndarray:
+    """Pair keys whose range is the pair's shard: for a hot context's pairs, the upper half is the least of their part's shard."""
+    key = _pair_keys(u, w)
     at, hot = _find(g.hot_contexts, u)
     if hot.any():
         parts = np.array([g.hot[c] for c in g.hot_contexts.tolist()], np.uint64)[at[hot]]
-        out[hot] = (out[hot] + _range_of(mix(w[hot] ^ np.uint64(_END)), parts)) % g.shards
-    return out
-
-
-def _pairs(u: np.ndarray, w: np.ndarray, shard: np.ndarray | None = None):
-    """(key of each, distinct contexts, distinct words): keys in the order of shard, context and word."""
-    us, ui = np.unique(u, return_inverse=True)
-    ws, wi = np.unique(w, return_inverse=True)
-    key = ui.astype(np.int64) * len(ws) + wi
-    return key if shard is None else key + shard * (len(us) * len(ws)), us, ws
+        shard = ((_range_of(key[hot], g.shards) + _range_of(mix(w[hot] ^ np.uint64(_END)), parts)) % g.shards).astype(np.uint64)
+        least = ((shard << np.uint64(32)) + np.uint64(g.shards - 1)) // np.uint64(g.shards)
+        key[hot] = (least << np.uint64(32)) | (key[hot] & np.uint64(0xFFFFFFFF))
+    return key
 
 
 def _as_bytes(ids: pa.Array) -> np.ndarray:
@@ -232,15 +243,15 @@ def _block_rows(batches, g: Totals, give_docs: bool):
         w, doc, counts = _tokens(texts)
         u = np.empty_like(w)
         u[1:], u[:1] = w[:-1], np.uint64(_END)
-        shard = _shard_of(u, w, g)
-        key, _, _ = _pairs(u, w, shard)
-        order = np.argsort(key, kind="stable")
-        key, doc = key[order], doc[order]
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        key = _dealt_keys(u, w, g)
+        order = np.argsort(key)
+        key, doc, u, w = key[order], doc[order], u[order], w[order]
+        starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1]))))
         n = np.diff(starts, append=len(key))
         c = np.add.reduceat(learn[doc].astype(np.int64), starts)
-        u, w, shard = u[order][starts], w[order][starts], shard[order][starts]
-        ids, first = np.unique(shard, return_index=True)
+        u, w, shard = u[starts], w[starts], _range_of(key[starts], g.shards)
+        first = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
+        ids = shard[first]
         cell, block = np.append(starts, len(doc)), (task << 32) + serial
         serial += 1
         if give_docs:
@@ -254,16 +265,16 @@ def _block_rows(batches, g: Totals, give_docs: bool):
 
 
 class Shard:
-    """The distinct pairs of a shard, in the order of context and word, with the rows of the blocks they came from."""
+    """The distinct pairs of a shard, in the order of their keys, with the rows of the blocks they came from."""
 
     def __init__(self, rows: list[bytes], g: Totals):
         self.rows = [unpacked(r) for r in rows]
         u = np.concatenate([np.repeat(_long(r[0], r[1], g), r[2].astype(np.int64)) for r in self.rows])
         w = np.concatenate([_long(r[3], r[4], g) for r in self.rows])
-        key, self.contexts, self.words = _pairs(u, w)
-        pair, self.at = np.unique(key, return_inverse=True)
-        self.c = np.bincount(self.at, np.concatenate([r[5] for r in self.rows]).astype(np.float64), len(pair)).astype(np.int64)
-        self.u, self.w = pair // len(self.words), pair % len(self.words)
+        _, first, self.at = np.unique(_pair_keys(u, w), return_index=True, return_inverse=True)
+        self.c = np.bincount(self.at, np.concatenate([r[5] for r in self.rows]).astype(np.float64), len(first)).astype(np.int64)
+        self.contexts, self.u = np.unique(u[first], return_inverse=True)
+        self.words, self.w = np.unique(w[first], return_inverse=True)
         self.stops = np.cumsum([len(r[5]) for r in self.rows])
 
     @property
@@ -642,12 +653,13 @@ def learn(docs: DataFrame) -> Model:
     first = written(_mapped(_by_place(pairs, shards), _set_up, g))
     is_message, is_state = F.col("kind") == _MESSAGE, F.col("kind") == _STATE
     links, customers = first.where(is_message), _hot_sums(first)
+    slim = replace(g, coded=np.zeros(0, np.uint64), _slots=None)  # sweeps need no codes
     root = written(_mapped(_by_place(links, shards), _root_set_up, g))
     at, tables, kept, hot_kept = first, {u: t for u, (_, t) in customers.items()}, [], []
     for k in range(SWEEPS):
         now = Sweep(k, *_root_totals(root), tables)
-        drawn = written(_mapped(_by_place(at.where(is_state).unionByName(root.where(is_message)), shards), _sweep_shards, g, now))
-        seated = written(_mapped(_by_place(drawn.where(is_message).unionByName(root.where(is_state)), shards), _sweep_root, g, now))
+        drawn = written(_mapped(_by_place(at.where(is_state).unionByName(root.where(is_message)), shards), _sweep_shards, slim, now))
+        seated = written(_mapped(_by_place(drawn.where(is_message).unionByName(root.where(is_state)), shards), _sweep_root, slim, now))
         released(root, *([at] if k else []))
         at, root, tables = drawn, seated, {u: t for u, (_, t) in _hot_sums(drawn).items()}
         if k >= BURN_IN:
@@ -685,4 +697,4 @@ def scores(docs: DataFrame) -> DataFrame:
 
 def op6_language_model(spark, sf_dir: str) -> DataFrame:
     """scores() of the whole table documents."""
-    return scores(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return scores(documents(spark, sf_dir).select("doc_id", "text"))
