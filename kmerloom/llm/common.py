@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, ship_package
+from ..session import ensure_checkpoint_dir, ship_package, spread
 
 #: Rows in one Arrow batch: few enough that a batch of very long texts stays small.
 ARROW_ROWS = 1000
@@ -49,6 +50,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table documents; if it has fewer splits than there are cores, its rows are dealt to all of them."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -61,6 +67,12 @@ def released(*tables: DataFrame) -> None:
                 _remove(df.sparkSession, path)
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that nothing refers to any more; it finds these when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Bytes up to which a side of a join is broadcast.
 BROADCAST_BYTES = 32 << 20
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, documents, mix, partitions, prepare, released, words_of, written
+from .common import blocks, documents, freed, mix, partitions, prepare, released, words_of, written
 
 SWEEPS, BURN_IN, STRENGTH = 6, 3, 1.0
 #: Training tokens of one shard, and shards at least.
@@ -52,7 +52,7 @@ class Totals:
     discount: float
     unknown: float  # the base measure's mass of the unknown symbol
     shards: int
-    coded: np.ndarray  # hashes
+    coded: np.ndarray  # hashes, the most frequent first
     hot: dict[int, int] = field(default_factory=dict)  # context: parts
     _slots: np.ndarray | None = None
 
@@ -77,18 +77,25 @@ class Totals:
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes, each behind its type and length."""
+    """Arrays as compressed bytes, each behind its type and length; numbers of 2 and 4 bytes lie byte by byte, for the upper ones repeat."""
     out = [len(arrays).to_bytes(2, "little")]
     for a in arrays:
-        out += [a.dtype.str.encode().ljust(4), len(a).to_bytes(8, "little"), np.ascontiguousarray(a).tobytes()]
-    return b"".join(out)
+        flat = np.ascontiguousarray(a)
+        if a.dtype.itemsize in (2, 4):
+            flat = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, a.dtype.itemsize).T)
+        out += [a.dtype.str.encode().ljust(4), len(a).to_bytes(8, "little"), flat.tobytes()]
+    data = b"".join(out)
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
 def unpacked(data: bytes) -> list[np.ndarray]:
+    data = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
     at, out = 2, []
     for _ in range(int.from_bytes(data[:2], "little")):
         kind, n = np.dtype(data[at : at + 4].decode().strip()), int.from_bytes(data[at + 4 : at + 12], "little")
-        out.append(np.frombuffer(data, kind, n, at + 12))
+        wide = kind.itemsize in (2, 4)
+        flat = np.frombuffer(data, np.uint8 if wide else kind, n * kind.itemsize if wide else n, at + 12)
+        out.append(np.ascontiguousarray(flat.reshape(kind.itemsize, n).T).reshape(-1).view(kind) if wide else flat)
         at += 12 + n * kind.itemsize
     return out
 
@@ -645,16 +652,22 @@ def learn(docs: DataFrame) -> Model:
     discount = min(0.95, max(0.1, once / max(once + 2 * twice, 1)))
     unknown = min(0.98, max(0.5, once / max(discount**2 * words, 1)))
     shards = max(SHARDS, math.ceil(tokens / SHARD_TOKENS))
-    coded = np.array(sorted(r.w % 2**64 for r in counts.orderBy(F.desc("n"), "w").limit(CODED_WORDS).collect()), np.uint64)
+    size = F.floor(F.log2("n") * 8).cast("int")  # words by size class: the largest classes that together are few enough get codes
+    classes = sorted(counts.groupBy(size.alias("size")).agg(F.count("*").alias("words")).collect(), reverse=True)
+    enough = int(np.searchsorted(np.cumsum([c.words for c in classes]), CODED_WORDS, side="right"))
+    frequent = counts.where(size >= classes[enough - 1]["size"]).collect() if enough else []
+    coded = np.array([r.w % 2**64 for r in sorted(frequent, key=lambda r: (-r.n, r.w))], np.uint64)
     hot = {r.w % 2**64: min(shards, math.ceil(2 * r.n / SHARD_TOKENS)) for r in counts.where(F.col("n") > SHARD_TOKENS / 2).collect()}
     g = Totals(int(tokens), int(words), discount, unknown, shards, coded, hot)
     released(counts)
+    del frequent
     pairs = rows.mapInArrow(lambda it: _batched(_block_rows(it, g, False)), _SCHEMA)
     first = written(_mapped(_by_place(pairs, shards), _set_up, g))
     is_message, is_state = F.col("kind") == _MESSAGE, F.col("kind") == _STATE
     links, customers = first.where(is_message), _hot_sums(first)
     slim = replace(g, coded=np.zeros(0, np.uint64), _slots=None)  # sweeps need no codes
     root = written(_mapped(_by_place(links, shards), _root_set_up, g))
+    freed(docs.sparkSession)
     at, tables, kept, hot_kept = first, {u: t for u, (_, t) in customers.items()}, [], []
     for k in range(SWEEPS):
         now = Sweep(k, *_root_totals(root), tables)
@@ -665,6 +678,7 @@ def learn(docs: DataFrame) -> Model:
         if k >= BURN_IN:
             kept.append(Sweep(k, *_root_totals(root)))
             hot_kept.append({u: (customers[u][0], t) for u, t in tables.items()})
+    freed(docs.sparkSession)
     return Model(g, kept, hot_kept, at.where(is_state), root.where(is_state), links)
 
 
