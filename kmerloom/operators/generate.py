@@ -72,6 +72,62 @@ def _quality_batches(batches, k: int, codec: Codec, n_keep: int):
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(pos), pa.concat_arrays(texts), pa.array(np.concatenate(values))], [*part.schema.names[:n_keep], "pos", "kmer", "quality"])
 
 
+def _best_batches(batches, k: int, codec: Codec):
+    a = np.arange(256)
+    usable = (a <= codec.last) & (a - codec.first >= max(codec.least, 1))
+    logs = np.where(usable, np.log2(1 - 10.0 ** (-(np.where(usable, a, codec.first + 1) - codec.first) / 10)), -np.inf)
+    for batch in batches:
+        rows = [(s[:n], q[:n]) for s, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (n := min(len(s or ""), len(q or ""))) >= k]
+        at, size = 0, 0
+        for i, (s, _) in enumerate(rows):
+            size += len(s)
+            if size > 1 << 20 or i == len(rows) - 1:
+                chars, owner = _flat([s.encode("ascii", "replace") for s, _ in rows[at : i + 1]])
+                lg = logs[np.frombuffer("".join(q for _, q in rows[at : i + 1]).encode("latin-1", "replace"), np.uint8)]
+                at, size, n = i + 1, 0, len(chars) - k + 1
+                own = np.flatnonzero(owner[:n] == owner[k - 1 :])
+                quality = np.exp2(np.lib.stride_tricks.sliding_window_view(lg, k)[own].sum(1))
+                code = packed_windows(_CODE[chars], k)[own]
+                order = np.argsort(code, kind="stable")
+                code, quality = code[order], quality[order]
+                first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+                yield pa.RecordBatch.from_arrays([pa.array(code[first].view(np.int64)), pa.array(np.diff(first, append=len(code))), pa.array(np.maximum.reduceat(quality, first)), pa.array(np.add.reduceat((quality == 0).astype(np.int64), first))], ["code", "count", "best", "unusable"])
+
+
+def best_quality(records: DataFrame, k: int, codec: Codec = ILLUMINA18, seq: str = "seq", qual: str = "qual") -> DataFrame:
+    """(kmer, count, best, unusable) of DNA for k up to 31: how often a k-mer occurs, its best quality, how often that is 0; combined by batch before the shuffle."""
+    if not 1 <= k <= 31:
+        raise ValueError("k is from 1 to 31")
+    ship_package(records.sparkSession)
+    found = records.select(seq, qual).mapInArrow(lambda it: _best_batches(it, k, codec), "code long, count long, best double, unusable long")
+    out = found.groupBy("code").agg(F.sum("count").alias("count"), F.max("best").alias("best"), F.sum("unusable").alias("unusable"))
+    return out.select(DNA.unpack(F.col("code"), k).alias("kmer"), "count", "best", "unusable")
+
+
+def _prefix_batches(batches, k: int, prefix: str, names: list[str]):
+    n_keep, size = len(names), len(prefix)
+    want = packed_windows(_CODE[np.frombuffer(prefix.encode(), np.uint8)], size)[0]
+    for batch in batches:
+        for i, s in enumerate(batch.column(n_keep).to_pylist()):
+            if s is None or len(s) < k:
+                continue
+            at = np.flatnonzero(packed_windows(_CODE[np.frombuffer(s.encode("ascii", "replace"), np.uint8)], size)[: len(s) - k + 1] == want)
+            if len(at):
+                row = pa.array(np.full(len(at), i))
+                yield pa.RecordBatch.from_arrays([*(batch.column(j).take(row) for j in range(n_keep)), pa.array(at.astype(np.int32)), pa.array([s[a : a + k] for a in at.tolist()])], [*names, "pos", "kmer"])
+
+
+def kmers_with_prefix(records: DataFrame, k: int, prefix: str, seq: str = "seq", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep..., pos, kmer) of the windows of DNA records that begin with ``prefix``; the others are never made."""
+    if not 1 <= len(prefix) <= min(k, 31):
+        raise ValueError("a prefix has 1 to 31 letters, and k at most")
+    ship_package(records.sparkSession)
+    rows = records.select(*keep, seq)
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "pos int, kmer string"])
+    return rows.mapInArrow(lambda it: _prefix_batches(it, k, prefix, list(keep)), schema)
+
+
 def _sided_batches(batches, k: int, codec: Codec, n_keep: int):
     """_quality_batches() with the characters beside each window."""
     for batch in batches:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import DNA, Alphabet
+from ..session import spread
 
 TEXT = "coalesce(text, '')"
 
@@ -18,7 +19,7 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 
 def raw_texts(spark, sf_dir: str) -> DataFrame:
     """(doc_id, seq): the documents' texts as they are; null is empty."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("seq"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("seq")))
 
 
 def sequences(spark, sf_dir: str, alphabet: Alphabet = DNA) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, kmer as km
+from ..functions.hashing import murmur3
 from ..functions.alphabet import ALPHABETS, DNA, DNA6, DNA16, RNA
 from ..functions.quality import ILLUMINA15, ILLUMINA18
 from ..operators import filters, generate, graph
@@ -116,7 +117,7 @@ def kmer_position_tuples(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {kmers_sql(12)} SELECT doc_id, pos, kmer FROM k WHERE kmer LIKE 'GATT%'")
 def kmer_position_index_find(spark, sf_dir) -> DataFrame:
-    return generate.kmers(sequences(spark, sf_dir), 12, keep=("doc_id",), where=F.col("kmer").startswith("GATT"))
+    return generate.kmers_with_prefix(sequences(spark, sf_dir), 12, "GATT", keep=("doc_id",))
 
 
 # Phred characters made from the text: place and base give a score from 0 to 40.
@@ -136,8 +137,7 @@ SELECT kmer, count(*) AS count, round(max(CASE WHEN bad > 0 THEN 0.0 ELSE pow(2,
 
 
 def _quality(spark, sf_dir, k, codec):
-    rows = generate.kmers_with_quality(_with_quality(sequences(spark, sf_dir), codec.first), k, codec)
-    return rows.groupBy("kmer").agg(F.count("*").alias("count"), F.round(F.max("quality"), 6).alias("best"), F.count_if(F.col("quality") == 0).alias("unusable"))
+    return generate.best_quality(_with_quality(sequences(spark, sf_dir), codec.first), k, codec).withColumn("best", F.round("best", 6))
 
 
 @query(_quality_sql(6, 0))
@@ -203,11 +203,14 @@ def kmer_unique(spark, sf_dir) -> DataFrame:
     return generate.count_packed(raw_texts(spark, sf_dir), 10).select("kmer")
 
 
-@query(f"WITH {kmers_sql(10)} SELECT count(DISTINCT kmer) AS kmers, count(DISTINCT kmer) AS hashes FROM k")
+@query(f"WITH {kmers_sql(10)} SELECT count(DISTINCT kmer) AS kmers, count(DISTINCT kmer) AS hashes, count(DISTINCT kmer) AS murmurs, 64 AS places, true AS even FROM k")
 def kmer_hash_distinct(spark, sf_dir) -> DataFrame:
-    """Placement hashes tell all different k-mers apart."""
+    """Placement hashes tell all different k-mers apart, fill all of 64 places, and none of these holds twice the mean (of 30 k-mers or more)."""
     rows = generate.count_packed(raw_texts(spark, sf_dir), 10).select("kmer")
-    return rows.select("kmer", F.xxhash64("kmer").alias("h")).agg(F.count("*").alias("kmers"), F.countDistinct("h").alias("hashes"))
+    hashed = rows.select("kmer", F.xxhash64("kmer").alias("h"), murmur3("kmer").alias("m"), km.place(F.col("kmer"), 64).alias("p"))
+    per = hashed.groupBy("p").agg(F.count("*").alias("n")).agg(F.count("*").cast("int").alias("places"), (F.max("n") < 2 * F.avg("n")).alias("even"))
+    sums = hashed.agg(F.count("*").alias("kmers"), F.countDistinct("h").alias("hashes"), F.countDistinct("m").alias("murmurs"))
+    return sums.join(F.broadcast(per), F.lit(True))
 
 
 @query(f"WITH {kmers_sql(10)} SELECT left(kmer, 3) AS part, count(*) AS count FROM k GROUP BY 1")

@@ -81,6 +81,12 @@ def renamed_parts(spark: SparkSession, folder: str, ending: str) -> None:
             fs.rename(f.getPath(), path(at, f"{name.split('.')[0]}.{ending}"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores if it has fewer splits than there are (one file of one row group is read by one task); tables of many splits stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut from its plan by a reliable checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)

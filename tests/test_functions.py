@@ -166,3 +166,17 @@ def test_random_records(spark):
     assert a == b and len({r.seq for r in a}) == 50 and set("".join(r.seq for r in a)) == set("ACGT") and {len(r.seq) for r in a} == {40}
     r = random_reads(spark, 5, 10).first()
     assert len(r.qual) == 10 and all(33 <= ord(c) <= 126 for c in r.qual)
+
+
+def test_murmur3_known_values(spark):
+    from kmerloom.functions import hashing
+
+    low, high = hashing.murmur3_of([b"hello", b"", b"The quick brown fox jumps over the lazy dog"], 0)
+    assert (int(low[0]), int(high[0])) == (0xCBD8A7B341BD9B02, 0x5B1E906A48AE1D19)
+    assert (int(low[1]), int(high[1])) == (0, 0)
+    assert (int(low[2]), int(high[2])) == (0xE34BBC7BBC071B6C, 0x7A433CA9C49A9347)
+    df = spark.createDataFrame([("hello",), ("ACGT" * 8,), ("",)], "k string")
+    got = df.select("k", hashing.murmur3("k", 1, 0).alias("h"), hashing.murmur_place("k", 7).alias("p")).collect()
+    for r in got:
+        words = hashing.murmur3_of([r.k.encode()], 0)
+        assert r.h % 2**64 == int(words[1][0]) and r.p == int(hashing.murmur3_of([r.k.encode()])[1][0]) % 7
