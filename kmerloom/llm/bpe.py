@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import blocks, prepare
+from .common import blocks, documents, prepare
 
 #: ASCII white space never lies inside a token of this kind of vocabulary (white space is dropped).
 _SPACES = re.compile(rb"[ \t\n\v\f\r]")
@@ -326,4 +326,4 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:
     """encode_digest() of the whole table documents."""
-    return encode_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return encode_digest(documents(spark, sf_dir))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import packed_row, prepare, sized_broadcast, text_or_empty, unpacked_row, written
+from .common import documents, packed_row, prepare, sized_broadcast, text_or_empty, unpacked_row, written
 
 WINDOW = 13
 #: A benchmark item's rarest terms that a document must hold close together, and how close to the rarest, for a proximity match.
@@ -178,7 +178,7 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, l
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
     """contamination() of the whole table documents by the whole table benchmark; item ids as a digest."""
-    out = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    out = contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated", "n_near")
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, packed_row, partitions, prepare, sized_broadcast, text_or_empty, trim, unpacked_row, words_of, written
+from .common import blocks, documents, mix, packed_row, partitions, prepare, sized_broadcast, text_or_empty, trim, unpacked_row, words_of, written
 from .graph import components
 
 N_GRAM, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.9999, 7
@@ -247,7 +247,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
 def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:
     """near_duplicates() of the whole table documents."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
+    return near_duplicates(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "class_id", "n_links")
 
 
 #: The same in DuckDB's SQL: all pairs that share an n-gram, their exact similarity, and the classes by recursion.

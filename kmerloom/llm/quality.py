@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, fresh_name, mix, prepare, text_or_empty, words_of
+from .common import blocks, documents, fresh_name, mix, prepare, text_or_empty, words_of
 
 #: Byte classes whose shares describe a line; 0 is anything else (lower-case letters, letters beyond ASCII).
 _UPPER, _DIGIT, _BLANK, _BANG, _PIPE, _STOP, _ODD = range(1, 8)
@@ -235,6 +235,6 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
     """Fits on the labels that may be learnt and scores the whole table documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

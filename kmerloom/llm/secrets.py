@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import documents, prepare
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -178,7 +178,7 @@ def redact_secrets(docs: DataFrame, width: int = 20, allowed: Iterable[str] = AL
 
 def op3_secrets(spark, sf_dir: str) -> DataFrame:
     """find_secrets() of the whole table documents; the base spans as a digest."""
-    found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = find_secrets(documents(spark, sf_dir))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
 
 

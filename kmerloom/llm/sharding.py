@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, text_or_empty
+from .common import documents, prepare, text_or_empty
 
 #: The ring is cut into this many equal arcs; an arc moves as one. It bounds what the driver holds.
 ARCS = 65536
@@ -91,5 +91,5 @@ def shard(docs: DataFrame, shards: int = 16, vnodes: int = 128, slack: float = 0
 
 def op1_sharding(spark, sf_dir: str) -> DataFrame:
     """shard() of the whole table documents by the law ``bytes``."""
-    out = shard(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), 16)
+    out = shard(documents(spark, sf_dir).select("doc_id", "text"), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _INV, _powers, blocks, mix, partitions, prepare, text_or_empty, words_of, written
+from .common import _INV, _powers, blocks, documents, mix, partitions, prepare, text_or_empty, words_of, written
 
 WINDOW, GRAM = 35, 8
 #: Different segments of one shard up to which one task builds its automaton.
@@ -277,7 +277,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
 
 def op5_substrings(spark, sf_dir: str) -> DataFrame:
     """drop_repeats() of the whole table documents; the kept words as a digest."""
-    out = drop_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = drop_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import count_tokens
-from .common import prepare, written
+from .common import documents, prepare, written
 
 
 def length_histogram(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -62,4 +62,4 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:
     """token_counts() of the whole table documents."""
-    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return token_counts(documents(spark, sf_dir))
