@@ -98,14 +98,22 @@ def signed(docs: DataFrame, n: int = N_GRAM, bands: int | None = None, rows: int
     return docs.select("doc_id", F.xxhash64(t).alias("text_hash"), t.alias("text")).mapInArrow(lambda it: _signature_batches(it, n, bands, rows), f"doc_id {kind}, text_hash long, cls long, bands array<long>")
 
 
-def candidate_groups(classes: DataFrame) -> DataFrame:
-    """(node, component): classes that share a band hash with another, and the group they are connected to.
+def candidate_blocks(classes: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(blocks, pairs): (cls, blk), the classes that share a band hash with another; and (low, high), the blocks that are to be compared.
 
-    In each bucket all are linked to the least class: as many links as members, never their pairs.
+    A class's bucket is the largest of those that its band hashes put it in; a bucket's own classes are cut into blocks of about ``block``. Two
+    blocks (or a block and itself) are compared if some band hash has classes of both, so two classes that share one always meet; and
+    only blocks that share one meet, so a chain of texts, each like the next, is work in proportion to its length.
     """
     flat = classes.select("cls", F.explode("bands").alias("band"))
-    hubs = flat.groupBy("band").agg(F.min("cls").alias("hub"), F.max("cls").alias("top")).where("hub <> top").select("band", "hub")
-    return components(flat.join(hubs, "band").where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")))
+    sizes = flat.groupBy("band").agg(F.count("*").alias("size")).where(F.col("size") > 1)
+    shared = written(flat.join(sizes, "band"))
+    own = shared.groupBy("cls").agg(F.max(F.struct("size", "band")).alias("b")).select("cls", F.col("b.band").alias("bucket"))
+    parts = own.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    blocks = written(own.join(parts, "bucket").select("cls", F.xxhash64("bucket", F.expr("pmod(xxhash64(cls), parts)")).alias("blk")))
+    met = shared.select("band", "cls").join(blocks, "cls").select("band", "blk").distinct().groupBy("band").agg(F.sort_array(F.collect_set("blk")).alias("b"))
+    met = met.select(F.explode("b").alias("low"), "b").select("low", F.explode(F.filter("b", lambda x: x >= F.col("low"))).alias("high"))
+    return blocks, met.distinct()
 
 
 def _compare(rows: list[tuple], split: int, n: int, similarity: float, one: bool) -> Iterator[tuple]:
@@ -148,7 +156,7 @@ def _compare(rows: list[tuple], split: int, n: int, similarity: float, one: bool
 
 
 def _compare_batches(batches, n: int, similarity: float):
-    """Takes rows sorted by (component, low, high, block); compares each such group's blocks."""
+    """Takes rows sorted by (low, high, blk); compares the two blocks, or the block with itself."""
     out: list[tuple] = []
 
     def flush():
@@ -158,7 +166,7 @@ def _compare_batches(batches, n: int, similarity: float):
     def groups():
         key, rows = None, []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("component", "low", "high", "block", "cls", "n_texts")]
+            cols = [batch.column(c).to_pylist() for c in ("low", "high", "blk", "cls", "n_texts")]
             for *k, block, cls, n_texts, text in zip(*cols, batch.column("text").cast("binary").to_pylist(), strict=True):
                 if k != key:
                     if len(rows) > 1:
@@ -168,7 +176,7 @@ def _compare_batches(batches, n: int, similarity: float):
         if len(rows) > 1:
             yield key, rows
 
-    for (_, low, high), rows in groups():
+    for (low, high), rows in groups():
         split = sum(r[3] == low for r in rows)
         if low == high or 0 < split < len(rows):
             out.extend(_compare(rows, split, n, similarity, low == high))
@@ -182,24 +190,22 @@ def _compare_batches(batches, n: int, similarity: float):
 def near_classes(docs: DataFrame, sig: DataFrame, n: int = N_GRAM, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(cls, n_texts, group, links): each n-gram set, its number of different texts, its group of similar sets, its links.
 
-    A candidate group is cut into blocks, and a task compares two blocks, so a group of any size spreads over tasks; each
-    pair of sets meets in one task, which counts its links and never puts pairs out.
+    A task compares two blocks of candidates, so a group of any size spreads over tasks; each pair of sets meets in one
+    task, which counts its links and never puts pairs out.
     """
     spark = docs.sparkSession
     some = sig.where("cls is not null")
     classes = written(some.groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.any_value("bands").alias("bands")))
     texts = some.select("cls", "text_hash").distinct().groupBy("cls").agg(F.count("*").alias("n_texts"))
-    groups = candidate_groups(classes).checkpoint()
-    parts = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    members = groups.join(parts, "component").join(classes.select(F.col("cls").alias("node"), "rep"), "node").join(texts.withColumnRenamed("cls", "node"), "node")
-    members = members.select(F.col("node").alias("cls"), "component", "parts", "n_texts", F.expr("cast(pmod(xxhash64(node), parts) as int)").alias("block"), F.col("rep.doc_id").alias("_id"), F.col("rep.text_hash").alias("_hash")).checkpoint()
+    blocks, pairs = candidate_blocks(classes, block)
+    members = written(blocks.join(classes.select("cls", "rep"), "cls").join(texts, "cls").select("cls", "blk", "n_texts", F.col("rep.doc_id").alias("_id"), F.col("rep.text_hash").alias("_hash")))
     keys = sized_broadcast(members, F.lit(120))
     t = text_or_empty()
     own = docs.select("doc_id", t.alias("text"), F.xxhash64(t).alias("text_hash"))
-    with_text = own.join(keys, own.doc_id.eqNullSafe(F.col("_id")) & (own.text_hash == F.col("_hash"))).drop("doc_id", "text_hash", "_id", "_hash").dropDuplicates(["cls"])
-    with_text = with_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    with_text = with_text.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls", "n_texts", "text")
-    dealt = with_text.repartition(partitions(spark), "component", "low", "high").sortWithinPartitions("component", "low", "high", "block", "cls")
+    with_text = own.join(keys, own.doc_id.eqNullSafe(F.col("_id")) & (own.text_hash == F.col("_hash"))).select("cls", "blk", "n_texts", "text").dropDuplicates(["cls"])
+    sides = pairs.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("blk"))
+    dealt = with_text.join(sized_broadcast(sides, F.lit(64)), "blk").select("low", "high", "blk", "cls", "n_texts", "text")
+    dealt = dealt.repartition(partitions(spark), "low", "high").sortWithinPartitions("low", "high", "blk", "cls")
     found = written(dealt.mapInArrow(lambda it: _compare_batches(it, n, similarity), "cls long, links long, least long"))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     group = components(found.select(F.col("cls").alias("a"), F.col("least").alias("b")))
