@@ -101,19 +101,19 @@ def signed(docs: DataFrame, n: int = N_GRAM, bands: int | None = None, rows: int
 def candidate_blocks(classes: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(blocks, pairs): (cls, blk), the classes that share a band hash with another; and (low, high), the blocks that are to be compared.
 
-    A class's bucket is the largest of those that its band hashes put it in; a bucket's own classes are cut into blocks of about ``block``. Two
-    blocks (or a block and itself) are compared if some band hash has classes of both, so two classes that share one always meet; and
+    A class's hub is the least class that shares a band hash with it (itself, maybe); the classes of a hub are cut into blocks of about ``block``,
+    so a group of texts that are nearly all alike has one hub and few blocks, however large it is. Two blocks (or a block and itself) are compared if some band hash has classes of both, so two classes that share one always meet; and
     only blocks that share one meet, so a chain of texts, each like the next, is work in proportion to its length.
     """
     flat = classes.select("cls", F.explode("bands").alias("band"))
-    sizes = flat.groupBy("band").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-    shared = written(flat.join(sizes, "band"))
-    own = shared.groupBy("cls").agg(F.max(F.struct("size", "band")).alias("b")).select("cls", F.col("b.band").alias("bucket"))
-    parts = own.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    blocks = written(own.join(parts, "bucket").select("cls", F.xxhash64("bucket", F.expr("pmod(xxhash64(cls), parts)")).alias("blk")))
+    hubs = flat.groupBy("band").agg(F.min("cls").alias("hub"), F.max("cls").alias("top")).where("hub <> top").select("band", "hub")
+    shared = written(flat.join(hubs, "band"))
+    own = shared.groupBy("cls").agg(F.min("hub").alias("hub"))
+    parts = own.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    blocks = written(own.join(parts, "hub").select("cls", F.xxhash64("hub", F.expr("pmod(xxhash64(cls), parts)")).alias("blk")))
     met = shared.select("band", "cls").join(blocks, "cls").select("band", "blk").distinct().groupBy("band").agg(F.sort_array(F.collect_set("blk")).alias("b"))
     met = met.select(F.explode("b").alias("low"), "b").select("low", F.explode(F.filter("b", lambda x: x >= F.col("low"))).alias("high"))
-    return blocks, met.distinct()
+    return blocks, written(met.distinct())
 
 
 def _compare(rows: list[tuple], split: int, n: int, similarity: float, one: bool) -> Iterator[tuple]:

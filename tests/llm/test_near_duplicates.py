@@ -120,3 +120,11 @@ def test_a_chain_is_work_in_proportion_to_its_length(spark):
     assert b > 0.95 * n and p < 20 * n  # all pairs of blocks would be many more
     out = near_duplicates.near_duplicates(docs).groupBy("class_id").count().collect()
     assert len(out) < n / 50 and sum(r["count"] for r in out) == n
+
+
+def test_a_group_of_many_alike_has_few_blocks(spark):
+    """Texts all alike but for one word: blocks of the group are as few as its size says, so texts go to few tasks each."""
+    words = [f"w{i}" for i in range(200)]
+    docs = spark.createDataFrame([(i, " ".join([*words[: i % 200], f"new{i}", *words[i % 200 + 1 :]])) for i in range(600)], "doc_id long, text string")
+    blocks, pairs = near_duplicates.candidate_blocks(near_duplicates.signed(docs).select("cls", "bands"), 60)
+    assert blocks.count() == 600 and blocks.select("blk").distinct().count() <= 14 and pairs.count() <= 105
