@@ -63,13 +63,12 @@ def fasta_pieces(spark, sf_dir) -> DataFrame:
     return whole.select("doc_id", F.char_length("s").cast("long").alias("bases"), F.md5(F.col("s").cast("binary")).alias("seq_md5"), "windows")
 
 
-@query(f"WITH {kmers_sql(15)} SELECT doc_id, pos, md5(kmer) AS kmer_md5 FROM k WHERE kmer IN (SELECT kmer FROM k GROUP BY kmer HAVING count(*) > 3)")
+@query(f"WITH {kmers_sql(15)} SELECT doc_id, count(*) AS windows, sum(pos)::BIGINT AS places, count(DISTINCT kmer) AS kmers, min(kmer) AS least, max(kmer) AS most FROM k GROUP BY doc_id")
 def fasta_piece_kmers(spark, sf_dir) -> DataFrame:
-    """k-mers of pieces with their place in the whole record; those that occur more than three times."""
+    """k-mers of pieces with their places in the whole record, by record."""
     rows = seqfiles.read_fasta_pieces(spark, _fasta(spark, sf_dir, 60), 14, 9_001)
     found = generate.kmers(rows.withColumn("doc_id", F.col("name").cast("long")), 15, keep=("doc_id", "base"))
-    often = found.groupBy("kmer").agg(F.count("*").alias("n")).where("n > 3").select("kmer")
-    return found.join(often, "kmer").select("doc_id", (F.col("base") + F.col("pos")).alias("pos"), F.md5(F.col("kmer").cast("binary")).alias("kmer_md5"))
+    return found.groupBy("doc_id").agg(F.count("*").alias("windows"), F.sum(F.col("base") + F.col("pos")).alias("places"), F.count_distinct("kmer").alias("kmers"), F.min("kmer").alias("least"), F.max("kmer").alias("most"))
 
 
 @query(f"WITH {sequences_sql()} SELECT round(avg(length(doc_id::VARCHAR) + 5 + 2 * length(s)), 6) AS record_size, round(avg(length(s)), 6) AS seq_size FROM d WHERE s <> ''")
