@@ -106,25 +106,3 @@ def test_components_of_a_long_path(spark):
     got = {r.node: r.component for r in graph.components(edges).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in (100, 101, 102)}
     assert graph.components(edges.limit(0)).count() == 0
-
-
-def test_a_chain_is_work_in_proportion_to_its_length(spark):
-    """Texts each like the next alone: blocks that share no band hash never meet, and none is cut from its neighbours."""
-    n = 3000
-    rng = random.Random(8)
-    words = [f"w{rng.randrange(10**9)}" for _ in range(n * 3 + 80)]
-    docs = spark.createDataFrame([(i, " ".join(words[3 * i : 3 * i + 80])) for i in range(n)], "doc_id long, text string")
-    classes = near_duplicates.signed(docs).where("cls is not null").select("cls", "bands")
-    blocks, pairs = near_duplicates.candidate_blocks(classes, 8)
-    b, p = blocks.count(), pairs.count()
-    assert b > 0.95 * n and p < 20 * n  # all pairs of blocks would be many more
-    out = near_duplicates.near_duplicates(docs).groupBy("class_id").count().collect()
-    assert len(out) < n / 50 and sum(r["count"] for r in out) == n
-
-
-def test_a_group_of_many_alike_has_few_blocks(spark):
-    """Texts all alike but for one word: blocks of the group are as few as its size says, so texts go to few tasks each."""
-    words = [f"w{i}" for i in range(200)]
-    docs = spark.createDataFrame([(i, " ".join([*words[: i % 200], f"new{i}", *words[i % 200 + 1 :]])) for i in range(600)], "doc_id long, text string")
-    blocks, pairs = near_duplicates.candidate_blocks(near_duplicates.signed(docs).select("cls", "bands"), 60)
-    assert blocks.count() == 600 and blocks.select("blk").distinct().count() <= 14 and pairs.count() <= 105
