@@ -15,7 +15,9 @@ query = registered(QUERIES)
 
 
 def _lines(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_quantity").alias("value"), F.struct("l_orderkey", "l_linenumber").alias("at"))
+    """Lines by part. Of lines with one order and number, the one that comes first in the files is first, as in the SQL."""
+    at = F.struct("l_orderkey", "l_linenumber", "_metadata.file_path", "_metadata.row_index")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_quantity").alias("value"), at.alias("at"))
 
 
 def _multimap(spark, sf_dir, **options) -> Index:
